@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.ids import base_id_sql, version_sql
 from quillspark.llm.group_splits import group_splits, related
+from quillspark.llm.languages import detect, fit
 from quillspark.llm.near_duplicates import Banding, found_pairs, near_duplicates
 from quillspark.llm.splitting import split_oversized
 from quillspark.llm.survivors import survivors
@@ -66,7 +67,22 @@ def p7_ids(spark, d):
     return token_ids(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_splits": p5_splits, "p7_ids": p7_ids}
+def _languages(spark, d):
+    documents = table(spark, d, "documents")
+    return detect(documents, fit(table(spark, d, "lang_samples"), documents))
+
+
+def p9_found(spark, d):
+    cases = _languages(spark, d).where("label_missing or label_wrong or is_mixed")
+    return cases.select("doc_id", F.explode("languages.lang").alias("lang")).distinct()
+
+
+def p9_segments(spark, d):
+    """Each document's languages and segments, with their confidence."""
+    return _languages(spark, d).select("doc_id", "label", F.explode("segments").alias("s")).select("doc_id", "label", "s.*")
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_splits": p5_splits, "p7_ids": p7_ids, "p9_found": p9_found, "p9_segments": p9_segments}
 
 _FILLED = lambda c: f"(CASE WHEN {c} IS NOT NULL AND lower(trim({c})) NOT IN ('', '-', '--', 'n/a', 'na', 'none', 'null', 'nil', 'nan', 'unknown', 'undefined', 'tbd', '?', '??') THEN 1 ELSE 0 END)"
 
