@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.ids import base_id_sql, version_sql
 from quillspark.llm.group_splits import group_splits, related
 from quillspark.llm.languages import detect, fit
+from quillspark.llm.leaks import leaks
 from quillspark.llm.near_duplicates import Banding, found_pairs, near_duplicates
 from quillspark.llm.splitting import split_oversized
 from quillspark.llm.survivors import survivors
@@ -67,6 +68,14 @@ def p7_ids(spark, d):
     return token_ids(table(spark, d, "documents"))
 
 
+def p8_leaks(spark, d):
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark, d):
+    return p8_leaks(spark, d).where("kind = 'verbatim'").select("doc_id", "item_id").distinct()
+
+
 def _languages(spark, d):
     documents = table(spark, d, "documents")
     return detect(documents, fit(table(spark, d, "lang_samples"), documents))
@@ -82,7 +91,7 @@ def p9_segments(spark, d):
     return _languages(spark, d).select("doc_id", "label", F.explode("segments").alias("s")).select("doc_id", "label", "s.*")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_splits": p5_splits, "p7_ids": p7_ids, "p9_found": p9_found, "p9_segments": p9_segments}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_splits": p5_splits, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_segments": p9_segments}
 
 _FILLED = lambda c: f"(CASE WHEN {c} IS NOT NULL AND lower(trim({c})) NOT IN ('', '-', '--', 'n/a', 'na', 'none', 'null', 'nil', 'nan', 'unknown', 'undefined', 'tbd', '?', '??') THEN 1 ELSE 0 END)"
 
