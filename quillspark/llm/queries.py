@@ -8,6 +8,7 @@ from quillspark.functions.ids import base_id_sql, version_sql
 from quillspark.llm.group_splits import group_splits, related
 from quillspark.llm.languages import detect, fit
 from quillspark.llm.leaks import leaks
+from quillspark.llm.markup import clean_texts, labelled_pages, learned_weights
 from quillspark.llm.near_duplicates import Banding, found_pairs, near_duplicates
 from quillspark.llm.splitting import split_oversized
 from quillspark.llm.survivors import survivors
@@ -64,6 +65,21 @@ def p5_splits(spark, d):
     return group_splits(written(related(queries), "groups"), "query_id", label)
 
 
+def _cleaned(spark, d):
+    papers, chunks = table(spark, d, "papers"), table(spark, d, "chunks")
+    weights = learned_weights(labelled_pages(chunks, table(spark, d, "parse_quality")))
+    keyed = lambda df, kind, key, text: df.select(F.lit(kind).alias("record_kind"), F.col(key).alias("record_key"), F.col(text).alias("raw"))
+    return clean_texts(keyed(papers, "paper", "doc_id", "abstract").unionByName(keyed(chunks, "chunk", "chunk_uid", "text")), ["record_kind", "record_key"], "raw", weights)
+
+
+def p6_found(spark, d):
+    return _cleaned(spark, d).where("n_constructs > 0").select("record_kind", "record_key").distinct()
+
+
+def p6_clean(spark, d):
+    return _cleaned(spark, d).select("record_kind", "record_key", "clean_text", "n_constructs", "content_start", "content_end")
+
+
 def p7_ids(spark, d):
     return token_ids(table(spark, d, "documents"))
 
@@ -91,7 +107,7 @@ def p9_segments(spark, d):
     return _languages(spark, d).select("doc_id", "label", F.explode("segments").alias("s")).select("doc_id", "label", "s.*")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_splits": p5_splits, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_segments": p9_segments}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_splits": p5_splits, "p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_segments": p9_segments}
 
 _FILLED = lambda c: f"(CASE WHEN {c} IS NOT NULL AND lower(trim({c})) NOT IN ('', '-', '--', 'n/a', 'na', 'none', 'null', 'nil', 'nan', 'unknown', 'undefined', 'tbd', '?', '??') THEN 1 ELSE 0 END)"
 
