@@ -1,8 +1,8 @@
 """Registered queries and their SQL."""
 
-from quillspark.plans import harvest_queries
+from quillspark.plans import corpus_queries, evaluation_queries, harvest_queries, store_queries, stream_queries
 
-_MODULES = [harvest_queries]
+_MODULES = [harvest_queries, evaluation_queries, corpus_queries, store_queries, stream_queries]
 
 
 def queries() -> dict:
