@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.samples import bounded_sample
+
 LETTERS = 27  # a to z without accents, and the gap between words
 DROPPED = 255
 
@@ -193,7 +195,8 @@ class Model:
 
 def fit(samples: DataFrame, documents: DataFrame | None = None, how: Profiles = Profiles(), lang: str = "lang", text: str = "text", key: str = "doc_id") -> Model:
     """Prototypes from labelled samples, then from labelled documents that agree with them (bounds: how.samples, how.documents)."""
-    rows = [(language_of_label(r[0]), r[1]) for r in samples.where(F.col(text).isNotNull()).select(lang, text).orderBy(F.xxhash64(text)).limit(how.samples).collect()]
+    rows = samples.where(F.col(text).isNotNull()).select(lang, text)
+    rows = [(language_of_label(r[0]), r[1]) for r in bounded_sample(rows, [text, lang], how.samples).collect()]
     rows = [r for r in rows if r[0]]
     languages = sorted({r[0] for r in rows})
     if not languages:
@@ -201,7 +204,8 @@ def fit(samples: DataFrame, documents: DataFrame | None = None, how: Profiles =
     table = profile_table(rows, languages, how)
     spelled = [s for c in languages for s in SPELLINGS[c]]
     bare = F.lower(F.trim(F.col(lang)))
-    labelled = [] if documents is None else documents.where(F.col(text).isNotNull() & (bare.isin(*spelled) | F.regexp_extract(bare, "^([^-_]*)", 1).isin(*spelled))).select(lang, text).orderBy(F.xxhash64(key)).limit(how.documents).collect()
+    known = bare.isin(*spelled) | F.regexp_extract(bare, "^([^-_]*)", 1).isin(*spelled)
+    labelled = [] if documents is None else bounded_sample(documents.where(F.col(text).isNotNull() & known).select(key, lang, text), [key, text], how.documents).select(lang, text).collect()
     labelled = [(language_of_label(r[0]), [r[1][a:b] for a, b in segments_of(r[1])]) for r in labelled]
     labelled = [(c, parts) for c, parts in labelled if c in languages and parts]
     for _ in range(how.rounds if labelled else 0):

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.samples import bounded_sample
+
 #: Names of HTML elements, beside any name with a namespace (as in jats:italic).
 TAGS = (
     "a abbr acronym address applet area article aside audio b base bdi bdo big blockquote body br button canvas caption center cite code col colgroup data "
@@ -299,5 +301,5 @@ def labelled_pages(texts: DataFrame, quality: DataFrame, key: str = "doc_id", te
     has an unexpanded macro or a broken math span. Pages without a possible report are left out."""
     rate = lambda c: F.when(F.col(c).between(0, 1), F.col(c))
     labels = quality.groupBy(key).agg(F.max(F.greatest(rate("unexpanded_macro_rate"), rate("broken_math_span_rate"))).alias("rate")).where("rate is not null")
-    sample = texts.where(F.length(text) > 0).select(key, F.col(text).alias("t")).orderBy(F.xxhash64(text), text).limit(most)
+    sample = bounded_sample(texts.where(F.length(text) > 0).select(key, F.col(text).alias("t")), ["t", key], most)
     return [(r["t"], r["rate"] > 0) for r in sample.join(labels, key).orderBy("t").collect()]
