@@ -20,7 +20,7 @@ def norm_ppf(p: float) -> float:
             low = middle
         else:
             high = middle
-    return (low + high) / 2
+    return round((low + high) / 2, 12) + 0.0  # never -0.0
 
 
 def min_detectable_effect(sd: Column, n: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
