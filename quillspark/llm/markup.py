@@ -126,6 +126,7 @@ class _Converter:
         while "\ue000" in self.text:
             self.text = re.sub("\ue000(\\d+)\ue001", lambda m: self.kept[int(m[1])], self.text)
         if self.kinds:
+            self.text = re.sub(r"(?m)(^- [^\n]*)\n{2,}(?=- )", r"\1\n", self.text)
             self.text = re.sub(r"[ \t]+\n", "\n", re.sub(r"\n{3,}", "\n\n", re.sub(r"(?<=\S)[ \t]{2,}", " ", self.text))).strip("\n")
 
     def html(self) -> None:
@@ -225,9 +226,9 @@ def converted(text: str | None, weights: dict[str, float] | None = None) -> Conv
     return Converted(whole.text, whole.kinds, start, end)
 
 
-_TOKEN = re.compile(rf"(?P<structure><(?:li|h[1-6]|pre|code|td|th|caption)\b[^<>]*>|\\(?:item|section|subsection|subsubsection|paragraph|title)\b|^[ \t]*(?:#{{1,6}}|[-*+]|\d+[.)]|={{2,6}})[ \t]|```|\$[^$\n]+\$|\\[(\[]|\|)|(?P<comment><!--.*?-->)|(?P<tag>{_TAG.pattern})|(?P<command>\\(?:[A-Za-z]+|.))|(?P<entity>&#?\w+;)|(?P<template>\{{\{{|\}}\}}|\[\[|\]\])|(?P<word>\w+)", re.M | re.S | re.I)
+_TOKEN = re.compile(rf"(?P<structure></?(?:p|ul|ol|dl|li|h[1-6]|pre|code|table|tr|td|th|caption)\b[^<>]*>|\\(?:item|section|subsection|subsubsection|paragraph|title)\b|^[ \t]*(?:#{{1,6}}|[-*+]|\d+[.)]|={{2,6}})[ \t]|```|\$[^$\n]+\$|\\[(\[]|\|)|(?P<comment><!--.*?-->)|(?P<tag>{_TAG.pattern})|(?P<command>\\(?:[A-Za-z]+|.))|(?P<entity>&#?\w+;)|(?P<template>\{{\{{|\}}\}}|\[\[|\]\])|(?P<word>\w+)", re.M | re.S | re.I)
 #: Weights where no labelled pages have been given.
-WEIGHTS = {"word": 1.0, "structure": 1.0, "tag": -2.0, "comment": -3.0, "command": -1.5, "entity": -0.5, "template": -2.0}
+WEIGHTS = {"word": 1.0, "structure": 1.0, "tag": -0.4, "comment": -1.0, "command": -0.4, "entity": -0.2, "template": -0.5}
 
 
 def _blocks(text: str) -> list[tuple[int, int]]:
@@ -261,7 +262,8 @@ def content_region(text: str, weights: dict[str, float]) -> tuple[int, int]:
 
 def learned_weights(pages: list[tuple[str, bool]]) -> dict[str, float]:
     """Weights of token kinds from labelled pages (text, is_residue): how much likelier a kind is in clean pages, as the
-    log of the ratio of rates; words count 1 and markup at most 0, so that a page of mere words is all content."""
+    log of the ratio of rates. A word counts 1 and structure too; markup counts a quarter of its ratio, between -1 and -0.1, so
+    that a word in a pair of tags still counts for itself and only blocks of mere markup are left outside."""
     seen = {False: Counter(), True: Counter()}
     for text, residue in pages:
         seen[residue].update(m.lastgroup for m in _TOKEN.finditer(text))
@@ -269,7 +271,7 @@ def learned_weights(pages: list[tuple[str, bool]]) -> dict[str, float]:
     out = {}
     for kind in WEIGHTS:
         ratio = math.log((seen[False][kind] + 1) / total[False]) - math.log((seen[True][kind] + 1) / total[True])
-        out[kind] = WEIGHTS[kind] if kind in ("word", "structure") else max(-4.0, min(-0.1, ratio))
+        out[kind] = WEIGHTS[kind] if kind in ("word", "structure") else max(-1.0, min(-0.1, ratio / 4))
     return out
 
 

@@ -14,21 +14,21 @@ from quillspark.llm.splitting import split_oversized
 from quillspark.llm.survivors import survivors
 from quillspark.llm.tokenizing import token_ids
 from quillspark.operators.components import components
-from quillspark.storage import table, written
+from quillspark.storage import spread, table, written
 
 #: Production parameters of problem 1: sets of three words, 0.7; recall at 0.7 is 0.96 by formula, at 0.8 0.996.
 P1 = Banding(shingle=3, threshold=0.7, bands_a=6, rows_a=2, bands_b=9, rows_b=3)
 
 
 def p1_found(spark, d):
-    pairs = found_pairs(near_duplicates(table(spark, d, "chunks"), "chunk_uid", "text", P1))
+    pairs = found_pairs(near_duplicates(spread(table(spark, d, "chunks").select("chunk_uid", "text")), "chunk_uid", "text", P1))
     return pairs.select(F.col("key_a").alias("chunk_uid_a"), F.col("key_b").alias("chunk_uid_b"))
 
 
 def p1_groups(spark, d):
     """One row for each chunk that has three words: its class of equal shingle sets, the group of classes that links
     join, and the number of other classes its own is linked to."""
-    found = near_duplicates(table(spark, d, "chunks"), "chunk_uid", "text", P1)
+    found = near_duplicates(spread(table(spark, d, "chunks").select("chunk_uid", "text")), "chunk_uid", "text", P1)
     links = written(found.links, "links")
     groups = components(links, "klass_a", "klass_b")
     degree = links.select(F.explode(F.array("klass_a", "klass_b")).alias("klass")).groupBy("klass").agg(F.count("*").alias("n_links"))
@@ -69,7 +69,7 @@ def _cleaned(spark, d):
     papers, chunks = table(spark, d, "papers"), table(spark, d, "chunks")
     weights = learned_weights(labelled_pages(chunks, table(spark, d, "parse_quality")))
     keyed = lambda df, kind, key, text: df.select(F.lit(kind).alias("record_kind"), F.col(key).alias("record_key"), F.col(text).alias("raw"))
-    return clean_texts(keyed(papers, "paper", "doc_id", "abstract").unionByName(keyed(chunks, "chunk", "chunk_uid", "text")), ["record_kind", "record_key"], "raw", weights)
+    return clean_texts(spread(keyed(papers, "paper", "doc_id", "abstract")).unionByName(spread(keyed(chunks, "chunk", "chunk_uid", "text"))), ["record_kind", "record_key"], "raw", weights)
 
 
 def p6_found(spark, d):
@@ -81,11 +81,11 @@ def p6_clean(spark, d):
 
 
 def p7_ids(spark, d):
-    return token_ids(table(spark, d, "documents"))
+    return token_ids(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def p8_leaks(spark, d):
-    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
 
 
 def p8_found(spark, d):
@@ -94,7 +94,7 @@ def p8_found(spark, d):
 
 def _languages(spark, d):
     documents = table(spark, d, "documents")
-    return detect(documents, fit(table(spark, d, "lang_samples"), documents))
+    return detect(spread(documents.select("doc_id", "lang", "text")), fit(table(spark, d, "lang_samples"), documents))
 
 
 def p9_found(spark, d):
