@@ -8,7 +8,7 @@ from quillspark.functions import statistics as st
 from quillspark.operators import evaluation as ev
 from quillspark.operators import qrels as qr
 from quillspark.plans.inputs import GOLD, SPANS, SPECS, gold, hits_cte, overlap_sql, rescore_sql, run, run_cte
-from quillspark.storage import shared_folder, table
+from quillspark.storage import shared_folder, table, written
 
 QUERIES, SQL = {}, {}
 
@@ -89,7 +89,7 @@ def _metrics(s, d):
 
 
 def _pairs(s, d):
-    return ev.paired(_metrics(s, d), "run-a", "run-b", "ndcg@10")
+    return written(ev.paired(_metrics(s, d), "run-a", "run-b", "ndcg@10"), "pairs")
 
 
 _PAIRS = f"pairs AS (SELECT x.query_id, x.ndcg_at_10 AS a, y.ndcg_at_10 AS b FROM ({rescore_sql(['ndcg@10'], 'a')}) x JOIN ({rescore_sql(['ndcg@10'], 'b')}) y ON x.query_id = y.query_id WHERE x.ndcg_at_10 IS NOT NULL AND y.ndcg_at_10 IS NOT NULL)"

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.storage import table
+from quillspark.storage import table, written
 
 #: Metrics of the flagship query.
 SPECS = ["recall@5", "recall@10", "precision@10", "mrr@10", "ndcg@10", "success@5"]
 
 
 def spans(spark, d) -> DataFrame:
-    """One row for each chunk id with a proper span."""
-    c = table(spark, d, "chunks").where("char_end > char_start and char_start >= 0")
+    """One row for each chunk id with a proper span. The number of partitions is given, so that adaptive execution does
+    not join them into few before the rows multiply in the join with judgements."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    c = table(spark, d, "chunks").where("char_end > char_start and char_start >= 0").select("chunk_uid", "doc_id", "char_start", "char_end").repartition(n, "chunk_uid")
     return c.groupBy("chunk_uid").agg(F.min("doc_id").alias("doc_id"), F.min("char_start").cast("bigint").alias("char_start"), F.max("char_end").cast("bigint").alias("char_end")).where("doc_id is not null")
 
 
@@ -26,12 +28,13 @@ def gold(spark, d) -> DataFrame:
 def run(spark, d, salt: str = "a", depth: int = 20) -> DataFrame:
     """A run over every judged (query, document): its chunks in order of a salted hash, `depth` for each query.
 
-    The rank window keeps `depth` rows a query in every partition before it shuffles.
+    As any run it is a written file, which is read as often as needed. The rank window keeps `depth` rows a query in every partition before it shuffles.
     """
     pairs = table(spark, d, "qrels").select("query_id", "doc_id").distinct()
     scored = pairs.join(spans(spark, d), "doc_id").withColumn("h", F.md5(F.concat_ws(":", F.lit(salt), "query_id", "chunk_uid").cast("binary")))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("h", "chunk_uid"))).where(F.col("rank") <= depth)
-    return ranked.select("query_id", "doc_id", "chunk_uid", "char_start", "char_end", F.col("rank").cast("bigint").alias("rank"), (1.0 / F.col("rank")).alias("score"), F.lit(f"run-{salt}").alias("run_id"))
+    out = ranked.select("query_id", "doc_id", "chunk_uid", "char_start", "char_end", F.col("rank").cast("bigint").alias("rank"), (1.0 / F.col("rank")).alias("score"), F.lit(f"run-{salt}").alias("run_id"))
+    return written(out, "run")
 
 
 SPANS = "spans AS (SELECT chunk_uid, min(doc_id) AS doc_id, CAST(min(char_start) AS BIGINT) AS char_start, CAST(max(char_end) AS BIGINT) AS char_end FROM chunks WHERE char_end > char_start AND char_start >= 0 GROUP BY chunk_uid HAVING min(doc_id) IS NOT NULL)"
