@@ -94,38 +94,36 @@ def _packed(text: str) -> np.ndarray:
     return x[(x != 0) | np.concatenate([[True], x[:-1] != 0])].astype(np.int64)
 
 
-def _run_vectors(how: Profiles, ids: np.ndarray) -> np.ndarray:
-    """The vectors of runs, in blocks of rows: the product of each letter's vector, rotated by its place."""
+def _part_vectors(how: Profiles, first: int, n: int) -> np.ndarray:
+    """Vectors of all parts of n letters that stand in a run from place `first` on: products of rotated letter vectors."""
     base = np.random.default_rng(how.seed).integers(0, 2, (LETTERS, how.dimensions), dtype=np.int8) * 2 - 1
-    v = np.ones((len(ids), how.dimensions), dtype=np.int8)
-    for k in range(how.run):
-        v *= np.roll(base, how.run - 1 - k, axis=1)[(ids // LETTERS ** (how.run - 1 - k)) % LETTERS]
+    ids = np.arange(LETTERS**n)
+    v = np.ones((len(ids), how.dimensions), dtype=np.float32)
+    for k in range(n):
+        v *= np.roll(base, how.run - 1 - first - k, axis=1)[(ids // LETTERS ** (n - 1 - k)) % LETTERS]
     return v
 
 
-def _blocks(ids: np.ndarray) -> Iterator[np.ndarray]:
-    return (ids[at : at + 8_192] for at in range(0, len(ids), 8_192))
-
-
 def profile_table(samples: list[tuple[str, str]], languages: list[str], how: Profiles) -> np.ndarray:
     """[run, language]: dot products of every run's vector with the prototypes, over the root of the dimensions.
 
-    A prototype is the sum of its samples' vectors, each of length one; what all prototypes share is taken off.
+    A prototype is the sum of its samples' vectors, each of length one; what all prototypes share is taken off. A run's
+    vector is the product of its halves' vectors, so sums over runs are products of two matrices of halves.
     """
     weights = np.zeros((LETTERS**how.run, len(languages)), dtype=np.float32)
     for lang, text in samples:
         ids, counts = np.unique(_runs(_packed(text), how.run), return_counts=True)
         if len(ids):
             weights[ids, languages.index(lang)] += counts / np.sqrt((counts.astype(float) ** 2).sum())
-    prototypes = np.zeros((how.dimensions, len(languages)), dtype=np.float32)
-    for ids in _blocks(np.flatnonzero(weights.any(axis=1))):
-        prototypes += _run_vectors(how, ids).T.astype(np.float32) @ weights[ids]
+    k = how.run // 2
+    left, right = _part_vectors(how, 0, k), _part_vectors(how, k, how.run - k)
+    prototypes = np.stack([(left * (weights[:, i].reshape(len(left), len(right)) @ right)).sum(axis=0, dtype=np.float64) for i in range(len(languages))], axis=1)
     prototypes /= np.maximum(np.linalg.norm(prototypes, axis=0), 1e-9)
     prototypes -= prototypes.mean(axis=1, keepdims=True)
     prototypes /= np.maximum(np.linalg.norm(prototypes, axis=0), 1e-9)
     table = np.empty((LETTERS**how.run, len(languages)), dtype=np.float32)
-    for ids in _blocks(np.arange(len(table))):
-        table[ids] = _run_vectors(how, ids).astype(np.float32) @ prototypes / how.dimensions**0.5
+    for i in range(len(languages)):
+        table[:, i] = (left @ (right * prototypes[:, i].astype(np.float32)).T).ravel() / how.dimensions**0.5
     return table
 
 
