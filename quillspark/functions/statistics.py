@@ -59,9 +59,10 @@ def randomization(a: list[float], b: list[float], times: int = 10_000, seed: int
 
 def numbered(pairs: DataFrame) -> DataFrame:
     """pairs with d = b - a and i, its place from 0 in order of query_id; n is the number of pairs."""
-    from pyspark.sql import Window
+    from quillspark.operators import numbering
 
-    return pairs.select("query_id", (F.col("b") - F.col("a")).alias("d"), (F.row_number().over(Window.orderBy("query_id")) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
+    rows = numbering.numbered(pairs.select("query_id", (F.col("b") - F.col("a")).alias("d")), "query_id")
+    return rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))  # one row beside each pair
 
 
 def _draw(times: int) -> tuple[Column, Column]:

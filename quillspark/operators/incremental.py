@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Compared columns of a harvested record; in those of SPACED, white space counts as one space and not at the ends.
@@ -48,12 +48,15 @@ def resume_points(records: DataFrame, states: DataFrame, how: Feed = Feed()) ->
     """
     on = [how.feed, *how.scope]
     scopes = records.select(*on).distinct()
-    w = Window.partitionBy(*on).orderBy(F.col(how.saved_at).desc_nulls_last(), F.col(how.state_id).desc_nulls_last())
-    saved = (
-        states.where(F.col(how.written_rows).isNotNull()).select(*on, how.saved_at, how.state_id, F.col(how.written_rows).cast("bigint").alias("done")).distinct()
-        .withColumn("k", F.row_number().over(w)).withColumn("before", F.lead("done").over(w)).where("k = 1")
-        .select(*[F.col(c).alias(f"s_{c}") for c in on], "done", "before")
-    )
+    # Maxima of structs, in which null is smallest: a feed with very many states is combined before it is shuffled.
+    state = F.struct(F.col(how.saved_at).alias("saved_at"), F.col(how.state_id).alias("state_id"), F.col(how.written_rows).cast("bigint").alias("done"))
+    known = states.where(F.col(how.written_rows).isNotNull()).select(*on, state.alias("state"))
+    last = known.groupBy(*on).agg(F.max("state").alias("last"))
+    to_last = F.lit(True)
+    for c in on:
+        to_last &= F.col(c).eqNullSafe(F.col(f"l_{c}"))
+    earlier = known.join(last.select(*[F.col(c).alias(f"l_{c}") for c in on], "last"), to_last).groupBy(*[f"l_{c}" for c in on]).agg(F.max("last").alias("last"), F.max(F.when(F.col("state") < F.col("last"), F.col("state"))).alias("before"))
+    saved = earlier.select(*[F.col(f"l_{c}").alias(f"s_{c}") for c in on], F.col("last.done").alias("done"), F.col("before.done").alias("before"))
     same = F.lit(True)
     for c in on:
         same &= F.col(c).eqNullSafe(F.col(f"s_{c}"))

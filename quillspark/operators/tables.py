@@ -49,6 +49,19 @@ def snapshot_id(entries: DataFrame) -> DataFrame:
     return folded.select(F.substring(F.sha2(F.concat_ws(":", "n", F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0))), 256), 1, 16).alias("corpus_snapshot"), F.col("n").alias("n_documents"))
 
 
+def zero_filled(df: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
+    """column, n: the number of rows of each of `values`, 0 where there are none."""
+    counts = df.groupBy(column).agg(F.count("*").alias("n"))
+    listed = df.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
+    return listed.join(counts, column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def violations(df: DataFrame, key: str, limits: dict[str, float]) -> DataFrame:
+    """key, name, most, actual of every value above its limit; a null value is within it."""
+    checks = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(float(x)).alias("most"), F.col(c).alias("actual")) for c, x in limits.items()])
+    return df.select(key, F.explode(checks).alias("c")).select(key, "c.*").where("actual > most")
+
+
 def new_keys(batch: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return batch.join(known.select(key), key, "left_anti")
 

@@ -91,6 +91,28 @@ _add(
     "SELECT ingest_run_id AS run_id, CASE WHEN min(parser_id) IS NULL THEN 'insert' WHEN min(parser_id) = max(parser_id) THEN 'noop' ELSE 'conflict' END AS action FROM papers GROUP BY ingest_run_id",
 )
 
+def _status_counts(s, d):
+    return tb.zero_filled(table(s, d, "harvest_records"), "status", ("live", "deleted", "failed"))
+
+
+_add("manifest_status_counts", _status_counts, "SELECT v AS status, count(status) AS n FROM (VALUES ('live'), ('deleted'), ('failed')) t(v) LEFT JOIN harvest_records ON status = v GROUP BY v")
+_LIMITS = {"unexpanded_macro_rate": 0.1, "broken_math_span_rate": 0.05, "short_span_rate": 0.2}
+_add("constraint_violations", lambda s, d: tb.violations(table(s, d, "parse_quality").select("doc_id", *_LIMITS), "doc_id", _LIMITS), " UNION ALL ".join(f"SELECT doc_id, '{c}' AS name, {x}::DOUBLE AS most, {c} AS actual FROM parse_quality WHERE {c} > {x}" for c, x in _LIMITS.items()))
+
+
+def _migrated(s, d):
+    import uuid
+
+    name = "ledger_" + uuid.uuid4().hex
+    tb.create_ledger(s, name)
+    tb.migrate(s, name)
+    out = s.createDataFrame([(t, len(s.table(f"{name}.{t}").columns)) for t in sorted(tb.LEDGER)], "name string, n_columns long")
+    s.sql(f"DROP DATABASE {name} CASCADE")
+    return out
+
+
+_add("ledger_migrate", _migrated, "SELECT * FROM (VALUES ('chunks', 8::BIGINT), ('documents', 10), ('errors', 4), ('ingest_runs', 7), ('run_metrics', 4), ('runs', 7), ('schema_version', 1)) t(name, n_columns)")
+
 # Harvest
 _add("harvest_summary", lambda s, d: hv.summary(table(s, d, "harvest_records")), "SELECT harvest_id, count(*) AS n_records, count(*) FILTER (WHERE status = 'deleted') AS n_tombstones, count(DISTINCT base_id) AS n_papers FROM harvest_records GROUP BY harvest_id")
 
@@ -161,5 +183,5 @@ _add("eprint_classify", lambda s, d: _archives(s).select("doc_id", ar.archive_ki
 _add("eprint_extract", lambda s, d: ar.extracted(_archives(s).where(ar.archive_kind(F.col("content")) == "gzip")).select("doc_id", "path", F.col("error").isNotNull().alias("refused")), "SELECT * FROM (VALUES ('a', 'main.tex', FALSE), ('a', 'part.tex', FALSE), ('b', 'main.tex', FALSE), ('e', NULL, TRUE), ('f', 'main.txt', FALSE), ('g', 'one.tex', FALSE), ('g', 'two.tex', FALSE)) t(doc_id, path, refused)")
 _add("main_tex_pick", lambda s, d: ar.first_main(_texts(s)), "SELECT * FROM (VALUES ('a', 'main.tex'), ('b', 'main.tex'), ('g', 'one.tex')) t(doc_id, main)")
 _add("main_tex_resolve", lambda s, d: ar.main_files(_texts(s)).select("doc_id", "main", F.col("rule").cast("bigint").alias("rule")), "SELECT * FROM (VALUES ('a', 'main.tex', 2::BIGINT), ('b', 'main.tex', 1), ('g', 'two.tex', 4)) t(doc_id, main, rule)")
-_add("files_hash", lambda s, d: ar.files_hash(table(s, d, "chunks").where("text is not null").select("doc_id", F.col("chunk_uid").alias("path"), F.col("text").alias("content")).distinct()), "SELECT doc_id, sha256(string_agg(sha256(text), E'\\n' ORDER BY chunk_uid, sha256(text))) AS sha FROM (SELECT DISTINCT doc_id, chunk_uid, text FROM chunks WHERE text IS NOT NULL) GROUP BY doc_id")
+_add("files_hash", lambda s, d: ar.files_hash(table(s, d, "chunks").where("text is not null").select("doc_id", F.col("chunk_uid").alias("path"), F.col("text").alias("content")).distinct()), "SELECT doc_id, sha256(string_agg(x, E'\\n' ORDER BY slot, x)) AS sha FROM (SELECT doc_id, substr(md5(chunk_uid), 1, 3) AS slot, sha256(string_agg(sha256(text), E'\\n' ORDER BY chunk_uid, sha256(text))) AS x FROM (SELECT DISTINCT doc_id, chunk_uid, text FROM chunks WHERE text IS NOT NULL) GROUP BY doc_id, substr(md5(chunk_uid), 1, 3)) GROUP BY doc_id")
 _add("resume_locate", lambda s, d: table(s, d, "papers").select("doc_id").distinct().join(table(s, d, "chunks").groupBy("doc_id").agg(F.min("chunk_uid").alias("first_file")), "doc_id", "left"), "SELECT p.doc_id, f.first_file FROM (SELECT DISTINCT doc_id FROM papers) p LEFT JOIN (SELECT doc_id, min(chunk_uid) AS first_file FROM chunks GROUP BY doc_id) f ON p.doc_id = f.doc_id")

@@ -93,6 +93,10 @@ def first_main(files: DataFrame) -> DataFrame:
 
 
 def files_hash(files: DataFrame) -> DataFrame:
-    """doc_id, sha: hash of the hashes of a document's files in order of path."""
-    one = F.struct("path", F.sha2(F.col("content").cast("binary"), 256).alias("h"))
-    return files.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["h"]), "\n"), 256).alias("sha"))
+    """doc_id, sha: hash over a document's files, in order of (slot, path); a slot is three digits of the path's own hash.
+
+    Files are hashed by slot first, so that no task gathers all files of a document that has very many.
+    """
+    folded = lambda key, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, F.col(value).alias("h")))), lambda x: x["h"]), "\n"), 256)
+    rows = files.select("doc_id", "path", F.substring(F.md5(F.col("path").cast("binary")), 1, 3).alias("slot"), F.sha2(F.col("content").cast("binary"), 256).alias("one"))
+    return rows.groupBy("doc_id", "slot").agg(folded("path", "one").alias("some")).groupBy("doc_id").agg(folded("slot", "some").alias("sha"))
