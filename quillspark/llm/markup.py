@@ -122,7 +122,8 @@ class _Converter:
         self.wiki()
         self.latex()
         self.markdown(inline)
-        self.sub("unclosed_formula", re.compile(r"(?<!\\)\$\$?|\\[()\[\]]"), "")
+        # a sum of money is no formula
+        self.sub("unclosed_formula", re.compile(r"(?<!\\)\$\$?(?!\d[\d,.]*(?:\s?(?:k|m|bn|million|billion|thousand|USD))?(?:[.,;:!?)]?(?:\s+[A-Za-z(]|\s*$)))|\\[()\[\]]"), "")
         while "\ue000" in self.text:
             self.text = re.sub("\ue000(\\d+)\ue001", lambda m: self.kept[int(m[1])], self.text)
         if self.kinds:
