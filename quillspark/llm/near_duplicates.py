@@ -7,7 +7,8 @@ A pair of similarity s shares a key with probability (1-(1-s^rows_a)^bands_a) *
 Candidates are thinned by a sketch of the minima and verified exactly on the shingle sets.
 
 Exact copies (equal shingle sets) become one class before any key is formed, so a group of copies costs one row however
-large it is. Sizes are never capped: the key join is a sort-merge join whose hot keys adaptive execution splits.
+large it is. A key that very many classes share (long boilerplate) would pair them all; the classes of such keys are
+instead joined exactly by rare shingles, of which two sets alike must share some. Nothing is capped or dropped.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ class Banding:
     lanes: int = 64
     #: Standard deviations below the expected agreement at the threshold at which a candidate is still verified.
     slack: float = 4.0
+    #: Classes that share a key from which on the key counts as hot (estimated from the classes of one hash in `sampled`).
+    hot: int = 400
+    sampled: int = 16
     #: Distinct ids of candidates up to which their texts are picked by a broadcast semi-join; beyond, by a shuffled one.
     broadcast_ids: int = 1_000_000
 
@@ -56,6 +60,41 @@ def _distinct_shingles(text: str | None, size: int, known: WordHashes) -> np.nda
     return np.unique(shingle_hashes(known.array(words(text)), size))
 
 
+def _classes(flat: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set of distinct shingles: equal for equal sets."""
+    return mixed(np.add.reduceat(flat, starts) + mixed(np.bitwise_xor.reduceat(flat, starts))) ^ sizes.astype(np.uint64)
+
+
+def _crowded_pairs(sets: DataFrame, buckets: DataFrame, how: Banding) -> DataFrame:
+    """(klass_a, klass_b): pairs of crowded classes that can reach the threshold t. buckets: klass, bucket of hot keys.
+
+    A shingle of more than how.hot classes is common. Two sets of sizes n_a <= n_b alike share at least t/(1+t) (n_a+n_b)
+    shingles, so at least 2t/(1+t) n_a. Where a has fewer common ones than that, both share `need` rare shingles or more,
+    and so one of the first (rare - need + 1) of a in one order of shingles: these pairs are found exactly. Only a set that is
+    common for the greater part can be alike without a rare shingle, and only with one that is common to t of its size;
+    those few keep their hot keys, and nearly all of their pairs are pairs alike.
+    """
+    t = how.threshold - 1e-9
+    rows = written(sets.select("klass", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "crowded")
+    seen = rows.groupBy("s").agg(F.count("*").alias("df"))
+    rare = rows.join(seen.where(F.col("df") <= how.hot), "s")
+    counted = rare.groupBy("klass", "n").agg(F.count("*").alias("r"), F.array_sort(F.collect_list(F.when(F.col("df") > 1, F.struct("df", "s")))).alias("p"))
+    whole = sets.select("klass", F.size("shingles").alias("n"))
+    profile = written(whole.join(counted.drop("n"), "klass", "left").select("klass", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("f"), "r", "p"), "profiles")
+    need = F.ceil(F.lit(2 * t / (1 + t)) * F.col("n")) - F.col("f")
+    # of the rare shingles those of this class alone come first in the order and need no row
+    head = F.slice("p", F.lit(1), F.greatest(F.lit(0), F.size("p") - need + 1).cast("int"))
+    a = profile.where((need >= 1) & F.col("p").isNotNull()).select(F.col("klass").alias("x"), F.col("n").alias("nx"), F.explode(head).alias("e")).select("x", "nx", "e.s")
+    b = profile.where(F.col("p").isNotNull()).select(F.col("klass").alias("y"), F.col("n").alias("ny"), F.explode("p").alias("e")).select("y", "ny", "e.s")
+    able = (F.col("x") != F.col("y")) & (F.col("ny") >= F.col("nx")) & (F.col("nx") >= F.lit(t) * F.col("ny"))
+    by_rare = a.join(b, "s").where(able).select("x", "y")
+    most = profile.where(need < 1).select(F.col("klass").alias("x"), F.col("n").alias("nx"))
+    much = profile.where(F.col("f") >= F.lit(t) * F.col("n")).select(F.col("klass").alias("y"), F.col("n").alias("ny"))
+    keyed = lambda side, c: buckets.withColumnRenamed("klass", c).join(side, c)
+    by_key = keyed(most, "x").join(keyed(much, "y"), "bucket").where(able).select("x", "y")
+    return by_rare.unionByName(by_key).select(F.least("x", "y").alias("klass_a"), F.greatest("x", "y").alias("klass_b")).distinct()
+
+
 def _signatures(how: Banding, key_type: pa.DataType):
     """Of each text: class (hash of the shingle set), number of shingles, band hashes, sketch."""
     multipliers = mixed(np.arange(1, how.minima + 1, dtype=np.uint64)) | np.uint64(1)
@@ -71,7 +110,7 @@ def _signatures(how: Banding, key_type: pa.DataType):
             flat = np.concatenate([sets[k] for k in kept])
             sizes = np.array([len(sets[k]) for k in kept])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            klass = mixed(np.add.reduceat(flat, starts) + mixed(np.bitwise_xor.reduceat(flat, starts))) ^ sizes.astype(np.uint64)
+            klass = _classes(flat, sizes, starts)
             minima = np.empty((how.minima, len(kept)), dtype=np.uint32)
             for k, m in enumerate(multipliers):
                 minima[k] = np.minimum.reduceat(((flat * m) >> np.uint64(32)).astype(np.uint32), starts)
@@ -100,10 +139,15 @@ def _shingle_rows(size: int, key_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            sets = [_distinct_shingles(t, size, known).view(np.int64) for t in batch.column(1).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            values = np.concatenate(sets) if sets else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(key_type), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["key", "shingles"])
+            sets = [_distinct_shingles(t, size, known) for t in batch.column(1).to_pylist()]
+            kept = [k for k, s in enumerate(sets) if len(s)]
+            if not kept:
+                continue
+            flat, sizes = np.concatenate([sets[k] for k in kept]), np.array([len(sets[k]) for k in kept])
+            ends = np.cumsum(sizes)
+            klass = _classes(flat, sizes, np.concatenate([[0], ends[:-1]]))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)).cast(key_type), pa.array(klass.view(np.int64)), lists], names=["key", "klass", "shingles"])
 
     return run
 
@@ -126,14 +170,31 @@ def near_duplicates(df: DataFrame, key: str, text: str, how: Banding = Banding()
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull())
     kind = rows.schema["key"].dataType
     sql_kind, arrow_kind = kind.simpleString(), pa.string() if kind.simpleString() == "string" else pa.int64()
+
+    def shingled(chosen: DataFrame) -> DataFrame:
+        """(klass, shingles) of chosen classes (klass, key), from their representatives' texts."""
+        shown = written(chosen, "representatives")
+        wanted = shown.select("key")
+        picked = rows.join(F.broadcast(wanted) if shown.count() <= how.broadcast_ids else wanted, "key", "left_semi")
+        sets = picked.dropDuplicates(["key", "text"]).mapInArrow(_shingle_rows(how.shingle, arrow_kind), f"key {sql_kind}, klass long, shingles array<long>")
+        return sets.join(shown, ["key", "klass"]).select("klass", "shingles")
+
     signed = written(
         rows.where(F.col("text").isNotNull()).mapInArrow(_signatures(how, arrow_kind), f"key {sql_kind}, klass long, n int, bands array<long>, sketch array<long>"), "signatures"
     )
     classes = signed.groupBy("klass").agg(F.first(F.struct("n", "bands", "sketch")).alias("s")).select("klass", "s.*")
     a, b = F.slice("bands", 1, how.bands_a), F.slice("bands", how.bands_a + 1, how.bands_b)
     keys = classes.select("klass", F.explode(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.xxhash64(x, y))))).alias("bucket"))
-    left, right = keys, keys.select(F.col("klass").alias("klass_b"), "bucket")
-    pairs = left.withColumnRenamed("klass", "klass_a").join(right, "bucket").where("klass_a < klass_b").select("klass_a", "klass_b").distinct()
+    heavy = written(keys.where(F.pmod("klass", F.lit(how.sampled)) == 0).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") * how.sampled >= how.hot).select("bucket"), "hot")
+    hot = not heavy.isEmpty()
+    cool = keys.join(heavy, "bucket", "left_anti") if hot else keys
+    right = cool.select(F.col("klass").alias("klass_b"), "bucket")
+    pairs = cool.withColumnRenamed("klass", "klass_a").join(right, "bucket").where("klass_a < klass_b").select("klass_a", "klass_b").distinct()
+    representatives = signed.groupBy("klass").agg(F.min("key").alias("key"))
+    if hot:
+        crowded = written(keys.join(heavy, "bucket", "left_semi"), "crowded")
+        chosen = representatives.join(crowded.select("klass").distinct(), "klass", "left_semi")
+        pairs = pairs.unionByName(_crowded_pairs(written(shingled(chosen), "crowded"), crowded, how)).distinct()
     side = lambda c: signed.select(F.col("klass").alias(f"klass_{c}"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")).dropDuplicates([f"klass_{c}"])
     differs = lambda w: F.expr(f"bit_count(((sketch_a[{w}] ^ sketch_b[{w}]) | shiftrightunsigned(sketch_a[{w}] ^ sketch_b[{w}], 1)) & 6148914691236517205L)")
     differing = sum((differs(w) for w in range(1, (how.lanes + 31) // 32)), differs(0))
@@ -143,11 +204,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, how: Banding = Banding()
         .where(differing <= how.lanes - how.least_lanes).select("klass_a", "klass_b", "n_a", "n_b"), "candidates"
     )
     touched = likely.select(F.explode(F.array("klass_a", "klass_b")).alias("klass")).distinct()
-    shown = written(signed.groupBy("klass").agg(F.min("key").alias("key")).join(touched, "klass", "left_semi"), "representatives")
-    wanted = shown.select("key")
-    picked = rows.join(F.broadcast(wanted) if shown.count() <= how.broadcast_ids else wanted, "key", "left_semi")
-    sets = picked.dropDuplicates(["key", "text"]).mapInArrow(_shingle_rows(how.shingle, arrow_kind), f"key {sql_kind}, shingles array<long>")
-    sets = written(sets.join(shown, "key").select("klass", "shingles"), "shingles")
+    sets = written(shingled(representatives.join(touched, "klass", "left_semi")), "shingles")
     one = lambda c: sets.select(F.col("klass").alias(f"klass_{c}"), F.col("shingles").alias(f"shingles_{c}"))
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     links = (

@@ -73,6 +73,22 @@ def test_recall_formula_and_groups_of_copies(spark):
     found = near_duplicates.near_duplicates(copies, "k", "text", near_duplicates.Banding(shingle=3))
     assert found.links.count() == 0 and found.members.select("klass").distinct().count() == 1
 
+def test_hot_keys_are_joined_exactly(spark):
+    rng = random.Random(8)
+    boiler = [f"b{i}" for i in range(60)]
+    texts = []
+    for k in range(150):  # all share most of their words; few pairs are alike beyond 0.8
+        own = [f"o{k}-{i}" for i in range(30)]
+        texts.append((f"{k:03d}a", " ".join(boiler + own)))
+        if k % 5 == 0:
+            own[rng.randrange(30)] = "changed"
+            texts.append((f"{k:03d}b", " ".join(boiler + own)))
+    df = spark.createDataFrame(texts, "k string, text string")
+    how = near_duplicates.Banding(shingle=3, threshold=0.8, bands_a=6, rows_a=2, bands_b=9, rows_b=3, hot=20, sampled=1)
+    got = set(rows_of(near_duplicates.found_pairs(near_duplicates.near_duplicates(df, "k", "text", how))))
+    want = brute_pairs(texts, 3, 0.8)
+    assert len(want) >= 30 and got == want
+
 
 # 3 survivors
 
