@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.samples import bounded_sample
 
+#: Characters of a block of texts that are scored at once.
+BLOCK = 250_000
 LETTERS = 27  # a to z without accents, and the gap between words
 DROPPED = 255
 
@@ -146,8 +148,20 @@ def scored(texts: list[str], how: Profiles, table: np.ndarray) -> tuple[np.ndarr
     """For each text: cosine with each prototype, and number of letters.
 
     The length of a text's vector is taken as the root of its number of runs: different runs are orthogonal up to
-    chance, and a run seldom occurs again within a sentence. The factor is the same for every language.
+    chance, and a run seldom occurs again within a sentence. The factor is the same for every language. Texts are taken
+    in blocks, so that the arrays of a block stay small.
     """
+    blocks, size = [0], 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > BLOCK:
+            blocks.append(k)
+            size = 0
+        size += len(t) + 1
+    parts = [_scored_block(texts[a:b], how, table) for a, b in zip(blocks, [*blocks[1:], len(texts)])]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _scored_block(texts: list[str], how: Profiles, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     points, letters = letters_of("\x00".join(["", *texts, ""]))
     border = points == 0
     gap = letters == 0
@@ -160,7 +174,8 @@ def scored(texts: list[str], how: Profiles, table: np.ndarray) -> tuple[np.ndarr
     at = np.flatnonzero(border)
     counts = np.diff(np.concatenate([[0], np.cumsum(letters > 0)])[at])
     values = table[_runs(letters, how.run)]
-    sums = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0, dtype=np.float64)])
+    sums = np.zeros((len(values) + 1, values.shape[1]))
+    np.cumsum(values, axis=0, out=sums[1:])
     # a run counts where it lies within the gap before a text and the gap after it
     ends = np.minimum(np.maximum(at[:-1], at[1:] - how.run + 2), len(sums) - 1)
     starts = np.minimum(at[:-1], ends)
