@@ -39,25 +39,76 @@ def minhash(rows: DataFrame, minima: int = 64) -> DataFrame:
 
 
 def candidates(signatures: DataFrame, minima: int = 64, rows: int = 4) -> DataFrame:
-    """(a, b), a < b: keys that share a band of `rows` minima."""
+    """(a, b), a < b, na, nb: keys that share a band of `rows` minima, and their numbers of shingles."""
+    return bucket_pairs(buckets_of(signatures, minima, rows))
+
+
+def buckets_of(signatures: DataFrame, minima: int = 64, rows: int = 4) -> DataFrame:
     bands = F.array(*[F.xxhash64(*[f"m{r}" for r in range(b, b + rows)], F.lit(b)) for b in range(0, minima, rows)])
-    buckets = signatures.select("key", "n", F.explode(bands).alias("bucket"))
+    return signatures.select("key", "n", F.explode(bands).alias("bucket"))
+
+
+def bucket_pairs(buckets: DataFrame) -> DataFrame:
     left, right = buckets.select(F.col("key").alias("a"), F.col("n").alias("na"), "bucket"), buckets.select(F.col("key").alias("b"), F.col("n").alias("nb"), "bucket")
     return left.join(right, "bucket").where("a < b").select("a", "b", "na", "nb").distinct()
 
 
-def near_duplicate_pairs(df: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.85, minima: int = 64, rows: int = 4) -> DataFrame:
+def crowded_pairs(sets: DataFrame, buckets: DataFrame, threshold: float, hot: int) -> DataFrame:
+    """(klass_a, klass_b): pairs of crowded sets that can reach the threshold t.
+
+    sets: klass, shingles (array of distinct hashes), the sets that share a hot key, one of very many sets (long
+    boilerplate), whose pairs a join on keys would all emit. buckets: klass, bucket of the hot keys.
+
+    A shingle of more than `hot` classes is common. Two sets of sizes n_a <= n_b alike share at least t/(1+t) (n_a+n_b)
+    shingles, so at least 2t/(1+t) n_a. Where a has fewer common ones than that, both share `need` rare shingles or more,
+    and so one of the first (rare - need + 1) of a in one order of shingles: these pairs are found exactly. Only a set that is
+    common for the greater part can be alike without a rare shingle, and only with one that is common to t of its size;
+    those few keep their hot keys, and nearly all of their pairs are pairs alike.
+    """
+    t = threshold - 1e-9
+    rows = written(sets.select("klass", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "crowded")
+    seen = rows.groupBy("s").agg(F.count("*").alias("df"))
+    rare = rows.join(seen.where(F.col("df") <= hot), "s")
+    counted = rare.groupBy("klass", "n").agg(F.count("*").alias("r"), F.array_sort(F.collect_list(F.when(F.col("df") > 1, F.struct("df", "s")))).alias("p"))
+    whole = sets.select("klass", F.size("shingles").alias("n"))
+    profile = written(whole.join(counted.drop("n"), "klass", "left").select("klass", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("f"), "r", "p"), "profiles")
+    need = F.ceil(F.lit(2 * t / (1 + t)) * F.col("n")) - F.col("f")
+    # of the rare shingles those of this class alone come first in the order and need no row
+    head = F.slice("p", F.lit(1), F.greatest(F.lit(0), F.size("p") - need + 1).cast("int"))
+    a = profile.where((need >= 1) & F.col("p").isNotNull()).select(F.col("klass").alias("x"), F.col("n").alias("nx"), F.explode(head).alias("e")).select("x", "nx", "e.s")
+    b = profile.where(F.col("p").isNotNull()).select(F.col("klass").alias("y"), F.col("n").alias("ny"), F.explode("p").alias("e")).select("y", "ny", "e.s")
+    able = (F.col("x") != F.col("y")) & (F.col("ny") >= F.col("nx")) & (F.col("nx") >= F.lit(t) * F.col("ny"))
+    by_rare = a.join(b, "s").where(able).select("x", "y")
+    most = profile.where(need < 1).select(F.col("klass").alias("x"), F.col("n").alias("nx"))
+    much = profile.where(F.col("f") >= F.lit(t) * F.col("n")).select(F.col("klass").alias("y"), F.col("n").alias("ny"))
+    keyed = lambda side, c: buckets.withColumnRenamed("klass", c).join(side, c)
+    by_key = keyed(most, "x").join(keyed(much, "y"), "bucket").where(able).select("x", "y")
+    return by_rare.unionByName(by_key).select(F.least("x", "y").alias("klass_a"), F.greatest("x", "y").alias("klass_b")).distinct()
+
+
+def near_duplicate_pairs(df: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.85, minima: int = 64, rows: int = 4, hot: int = 400) -> DataFrame:
     """(a, b, jaccard), a < b, of the keys whose distinct shingles have a similarity of `threshold` or more.
 
     Sixteen bands of four minima find a pair at 0.85 with 0.99997, at 0.8 with 0.9998; candidates are verified by
     counting shared shingles, so nothing below the threshold comes out. Equal texts are compared once, by their first
-    key, and joined to the others afterwards. Texts of fewer words than a shingle match nothing.
+    key, and joined to the others afterwards. Texts of fewer words than a shingle match nothing. Buckets of
+    more than `hot` texts are joined by rare shingles instead (crowded_pairs).
     """
     known = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).distinct()
     hashed = written(known.select("key", F.xxhash64(folded(F.col("text"))).alias("copy"), "text"), "texts")
     first = hashed.groupBy("copy").agg(F.min(F.struct("key", "text")).alias("f")).select("copy", "f.key", "f.text")
     shingled = written(shingle_rows(first.select(F.col("copy").alias("key"), "text"), "key", "text", size), "shingles")
-    found = written(candidates(minhash(shingled, minima), minima, rows), "pairs")
+    buckets = written(buckets_of(minhash(shingled, minima), minima, rows), "buckets")
+    heavy = written(buckets.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("bucket"), "hot")
+    if heavy.isEmpty():
+        found = written(bucket_pairs(buckets), "pairs")
+    else:
+        crowded = written(buckets.join(heavy, "bucket", "left_semi").select(F.col("key").alias("klass"), "bucket"), "crowded")
+        sets = shingled.select(F.col("key").alias("klass"), "h").join(crowded.select("klass").distinct(), "klass", "left_semi").groupBy("klass").agg(F.collect_list("h").alias("shingles"))
+        more = crowded_pairs(written(sets, "sets"), crowded, threshold, hot).select(F.col("klass_a").alias("a"), F.col("klass_b").alias("b"))
+        sizes = buckets.select("key", "n").distinct()
+        more = more.join(sizes.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
+        found = written(bucket_pairs(buckets.join(heavy, "bucket", "left_anti")).unionByName(more).distinct(), "pairs")
     side = lambda c: shingled.select(F.col("key").alias(c), "h")
     shared = found.join(side("a"), "a").join(side("b"), ["b", "h"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
     alike = shared.select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("jaccard")).where(F.col("jaccard") >= threshold)

@@ -345,3 +345,19 @@ def test_archive_limits():
 def test_citations_keep_first_order(spark):
     df = spark.createDataFrame([(r"\cite{b, a}\citep[p. 3]{a,c,}",), ("none",), (None,)], "t string")
     assert [r[0] for r in df.select(citation_keys(F.col("t"))).collect()] == [["b", "a", "c"], [], None]
+
+
+def test_crowded_buckets_are_joined_exactly(spark):
+    rng = random.Random(8)
+    boiler, texts = [f"b{i}" for i in range(60)], {}
+    for k in range(120):
+        own = [f"o{k}x{i}" for i in range(30)]
+        texts[f"{k:03d}a"] = boiler + own
+        if k % 5 == 0:
+            own[rng.randrange(30)] = "changed"
+            texts[f"{k:03d}b"] = boiler + own
+    sets = {k: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, w in texts.items()}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "k string, text string")
+    got = {(r.a, r.b) for r in dedup.near_duplicate_pairs(df, "k", "text", 3, 0.8, hot=20).collect()}
+    assert len(want) >= 24 and got == want
