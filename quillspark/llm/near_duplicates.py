@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.words import WordHashes, mixed, shingle_hashes, words
+from quillspark.operators.dedup import crowded_pairs
 from quillspark.storage import written
 
 
@@ -65,36 +66,6 @@ def _classes(flat: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndar
     return mixed(np.add.reduceat(flat, starts) + mixed(np.bitwise_xor.reduceat(flat, starts))) ^ sizes.astype(np.uint64)
 
 
-def _crowded_pairs(sets: DataFrame, buckets: DataFrame, how: Banding) -> DataFrame:
-    """(klass_a, klass_b): pairs of crowded classes that can reach the threshold t. buckets: klass, bucket of hot keys.
-
-    A shingle of more than how.hot classes is common. Two sets of sizes n_a <= n_b alike share at least t/(1+t) (n_a+n_b)
-    shingles, so at least 2t/(1+t) n_a. Where a has fewer common ones than that, both share `need` rare shingles or more,
-    and so one of the first (rare - need + 1) of a in one order of shingles: these pairs are found exactly. Only a set that is
-    common for the greater part can be alike without a rare shingle, and only with one that is common to t of its size;
-    those few keep their hot keys, and nearly all of their pairs are pairs alike.
-    """
-    t = how.threshold - 1e-9
-    rows = written(sets.select("klass", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "crowded")
-    seen = rows.groupBy("s").agg(F.count("*").alias("df"))
-    rare = rows.join(seen.where(F.col("df") <= how.hot), "s")
-    counted = rare.groupBy("klass", "n").agg(F.count("*").alias("r"), F.array_sort(F.collect_list(F.when(F.col("df") > 1, F.struct("df", "s")))).alias("p"))
-    whole = sets.select("klass", F.size("shingles").alias("n"))
-    profile = written(whole.join(counted.drop("n"), "klass", "left").select("klass", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("f"), "r", "p"), "profiles")
-    need = F.ceil(F.lit(2 * t / (1 + t)) * F.col("n")) - F.col("f")
-    # of the rare shingles those of this class alone come first in the order and need no row
-    head = F.slice("p", F.lit(1), F.greatest(F.lit(0), F.size("p") - need + 1).cast("int"))
-    a = profile.where((need >= 1) & F.col("p").isNotNull()).select(F.col("klass").alias("x"), F.col("n").alias("nx"), F.explode(head).alias("e")).select("x", "nx", "e.s")
-    b = profile.where(F.col("p").isNotNull()).select(F.col("klass").alias("y"), F.col("n").alias("ny"), F.explode("p").alias("e")).select("y", "ny", "e.s")
-    able = (F.col("x") != F.col("y")) & (F.col("ny") >= F.col("nx")) & (F.col("nx") >= F.lit(t) * F.col("ny"))
-    by_rare = a.join(b, "s").where(able).select("x", "y")
-    most = profile.where(need < 1).select(F.col("klass").alias("x"), F.col("n").alias("nx"))
-    much = profile.where(F.col("f") >= F.lit(t) * F.col("n")).select(F.col("klass").alias("y"), F.col("n").alias("ny"))
-    keyed = lambda side, c: buckets.withColumnRenamed("klass", c).join(side, c)
-    by_key = keyed(most, "x").join(keyed(much, "y"), "bucket").where(able).select("x", "y")
-    return by_rare.unionByName(by_key).select(F.least("x", "y").alias("klass_a"), F.greatest("x", "y").alias("klass_b")).distinct()
-
-
 def _signatures(how: Banding, key_type: pa.DataType):
     """Of each text: class (hash of the shingle set), number of shingles, band hashes, sketch."""
     multipliers = mixed(np.arange(1, how.minima + 1, dtype=np.uint64)) | np.uint64(1)
@@ -194,7 +165,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, how: Banding = Banding()
     if hot:
         crowded = written(keys.join(heavy, "bucket", "left_semi"), "crowded")
         chosen = representatives.join(crowded.select("klass").distinct(), "klass", "left_semi")
-        pairs = pairs.unionByName(_crowded_pairs(written(shingled(chosen), "crowded"), crowded, how)).distinct()
+        pairs = pairs.unionByName(crowded_pairs(written(shingled(chosen), "crowded"), crowded, how.threshold, how.hot)).distinct()
     side = lambda c: signed.select(F.col("klass").alias(f"klass_{c}"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")).dropDuplicates([f"klass_{c}"])
     differs = lambda w: F.expr(f"bit_count(((sketch_a[{w}] ^ sketch_b[{w}]) | shiftrightunsigned(sketch_a[{w}] ^ sketch_b[{w}], 1)) & 6148914691236517205L)")
     differing = sum((differs(w) for w in range(1, (how.lanes + 31) // 32)), differs(0))
