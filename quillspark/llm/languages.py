@@ -207,13 +207,14 @@ class Model:
 
 
 def fit(samples: DataFrame, documents: DataFrame | None = None, how: Profiles = Profiles(), lang: str = "lang", text: str = "text", key: str = "doc_id") -> Model:
-    """Prototypes from labelled samples, then from labelled documents that agree with them (bounds: how.samples, how.documents)."""
+    """Prototypes from labelled samples, then from labelled documents that agree with them (bounds: how.samples, how.documents). Without
+    a sample of a known language the model has no languages and finds none in any text."""
     rows = samples.where(F.col(text).isNotNull()).select(lang, text)
     rows = [(language_of_label(r[0]), r[1]) for r in bounded_sample(rows, [text, lang], how.samples).collect()]
     rows = [r for r in rows if r[0]]
     languages = sorted({r[0] for r in rows})
     if not languages:
-        raise ValueError("no sample has a known language")
+        return Model([], np.zeros((LETTERS**how.run, 0), dtype=np.float32), how)
     table = profile_table(rows, languages, how)
     spelled = [s for c in languages for s in SPELLINGS[c]]
     bare = F.lower(F.trim(F.col(lang)))
@@ -243,6 +244,8 @@ def _confidence(scores: np.ndarray, best: int, how: Profiles) -> float:
 def _judged(texts: list[str], model: Model) -> list[tuple[list[dict], list[dict]]]:
     """For each text: its languages (lang, confidence, letters) and its segments (start, end, lang, confidence)."""
     how = model.how
+    if not model.languages:
+        return [([], []) for _ in texts]
     spans = [segments_of(t) for t in texts]
     scores, letters = scored([t[a:b] for t, s in zip(texts, spans) for a, b in s], how, model.table)
     leads, best = _leads(scores), scores.argmax(axis=1)

@@ -39,8 +39,9 @@ _VALUE = r"""(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>=]+)"""
 _ATTR = rf"(?:\s+[A-Za-z_:][-\w:.]*\s*=\s*{_VALUE})"
 _WORDS = re.compile(r"(?<![\\\w])[A-Za-z]{2,} [A-Za-z]{2,} [A-Za-z]{2,}(?![\w}])|[A-Za-z]{2,}[.!?] [A-Z]")
 
-#: Closed formulas: no constructs by themselves, kept as they are.
-_FORMULAS = (re.compile(r"(?<!\\)\$\$(?:[^$\\]|\\.)+?\$\$", re.S), re.compile(r"\\\[(?:(?!\\[\[\]]).)+?\\\]", re.S), re.compile(r"\\\((?:(?!\\[()]).)+?\\\)", re.S), re.compile(r"(?<![\\$])\$(?!\$)(?:[^$\\\n]|\\[^\n]|\n(?!\s*\n))+?(?<!\\)\$(?!\$)"))
+#: Closed formulas: no constructs by themselves, kept as they are. The lengths of inline constructs are bounded, far above
+#: any real one, so that many marks that never close cost no more than one pass each over that length.
+_FORMULAS = (re.compile(r"(?<!\\)\$\$(?:[^$\\]|\\.){1,8000}?\$\$", re.S), re.compile(r"\\\[(?:(?!\\[\[\]]).){1,8000}?\\\]", re.S), re.compile(r"\\\((?:(?!\\[()]).){1,8000}?\\\)", re.S), re.compile(r"(?<![\\$])\$(?!\$)(?:[^$\\\n]|\\[^\n]|\n(?!\s*\n)){1,4000}?(?<!\\)\$(?!\$)"))
 
 _TAG = re.compile(rf"</?(?:{_NAME}|[A-Za-z][\w-]*:[A-Za-z][\w-]*){_ATTR}*\s*/?>|<(?:{_LONG})(?:\s+[A-Za-z-]+|{_ATTR})*\s*/?>|<!DOCTYPE[^>]*>|<!\[CDATA\[|\]\]>|<\?xml[^>]*>|</(?:{_NAME})(?![\w>])|<(?:{_LONG})\s+[a-z-]+=[^<>]*(?=<|$|\n)", re.I)
 _ENTITY = re.compile(r"&(?:amp;)*(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|([A-Za-z][A-Za-z0-9]+));")
@@ -165,7 +166,7 @@ class _Converter:
         self.sub("wiki_link", re.compile(r"\[\[(?:[^\[\]|\n]*\|)*([^\[\]|\n]*)\]\]"), lambda m: None if _numeric(m[0].strip("[]")) else m[1])
         self.sub("wiki_link", re.compile(r"\[\[(?:[^\[\]|\n]*\|)*([^\[\]|\n]*)\]\]"), lambda m: None if _numeric(m[0].strip("[]")) else m[1])
         self.sub("wiki_link", re.compile(r"\[(?:https?|ftp)://[^\s\]]+[ \t]*([^\]\n]*)\]", re.I), "\\1")
-        self.sub("wiki_quotes", re.compile(r"(?<![\w'’`])('{2,5})(?=[^\s'])(.+?)(?<=[^\s'])\1(?!')"), "\\2")
+        self.sub("wiki_quotes", re.compile(r"(?<![\w'’`])('{2,5})(?=[^\s'])(.{1,1000}?)(?<=[^\s'])\1(?!')"), "\\2")
         self.sub("wiki_magic", re.compile(r"__(?:TOC|NOTOC|FORCETOC|NOEDITSECTION)__"), "")
 
     def latex(self) -> None:
@@ -205,8 +206,8 @@ class _Converter:
         self.sub("markdown_quote", re.compile(r"^[ \t]{0,3}>[ \t]?(?=\S)", re.M), "")
         self.sub("markdown_code", re.compile(r"(?<![`\w])`([^`\n]+)`(?![`\w])"), inline)
         self.sub("markdown_bold", re.compile(r"(?<![\w*])(\*{2,3})(?=[^\s*])([^*\n]*(?:\n(?!\n)[^*\n]*)?)(?<=[^\s*])\1(?![\w*])"), "\\2")
-        self.sub("markdown_bold", re.compile(r"(?<![\w_])(__)(?=[^\s_])(.+?)(?<=[^\s_])\1(?![\w_])"), "\\2")
-        self.sub("markdown_strike", re.compile(r"~~(?=\S)(.+?)(?<=\S)~~"), "\\1")
+        self.sub("markdown_bold", re.compile(r"(?<![\w_])(__)(?=[^\s_])(.{1,1000}?)(?<=[^\s_])\1(?![\w_])"), "\\2")
+        self.sub("markdown_strike", re.compile(r"~~(?=\S)(.{1,1000}?)(?<=\S)~~"), "\\1")
         self.sub("markdown_emphasis", re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]{1,200}?)(?<=[^\s*])\*(?![\w*])"), "\\1")
         self.sub("markdown_emphasis", re.compile(r"(?<![\w_\\])_(?=[^\s_])([^_\n]{1,200}?)(?<=[^\s_])_(?![\w_])"), "\\1")
 
@@ -227,7 +228,7 @@ def converted(text: str | None, weights: dict[str, float] | None = None) -> Conv
     return Converted(whole.text, whole.kinds, start, end)
 
 
-_TOKEN = re.compile(rf"(?P<structure></?(?:p|ul|ol|dl|li|h[1-6]|pre|code|table|tr|td|th|caption)\b[^<>]*>|\\(?:item|section|subsection|subsubsection|paragraph|title)\b|^[ \t]*(?:#{{1,6}}|[-*+]|\d+[.)]|={{2,6}})[ \t]|```|\$[^$\n]+\$|\\[(\[]|\|)|(?P<comment><!--.*?-->)|(?P<tag>{_TAG.pattern})|(?P<command>\\(?:[A-Za-z]+|.))|(?P<entity>&#?\w+;)|(?P<template>\{{\{{|\}}\}}|\[\[|\]\])|(?P<word>\w+)", re.M | re.S | re.I)
+_TOKEN = re.compile(rf"(?P<structure></?(?:p|ul|ol|dl|li|h[1-6]|pre|code|table|tr|td|th|caption)\b[^<>]*>|\\(?:item|section|subsection|subsubsection|paragraph|title)\b|^[ \t]*(?:#{{1,6}}|[-*+]|\d+[.)]|={{2,6}})[ \t]|```|\$[^$\n]+\$|\\[(\[]|\|)|(?P<comment><!--.{0,5000}?-->|<!--)|(?P<tag>{_TAG.pattern})|(?P<command>\\(?:[A-Za-z]+|.))|(?P<entity>&#?\w+;)|(?P<template>\{{\{{|\}}\}}|\[\[|\]\])|(?P<word>\w+)", re.M | re.S | re.I)
 #: Weights where no labelled pages have been given.
 WEIGHTS = {"word": 1.0, "structure": 1.0, "tag": -0.4, "comment": -1.0, "command": -0.4, "entity": -0.2, "template": -0.5}
 

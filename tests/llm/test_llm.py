@@ -239,6 +239,15 @@ def test_markup_keeps_structure():
     assert c.text.startswith("Intro\n\n- one\n- two\n\n") and "run\tdepth\nA\t3" in c.text and "$x_{1}$ stays" in c.text
 
 
+@pytest.mark.parametrize("mark", ["__x ", "$x ", "\\[ x ", "''a ", "<!-- a ", "{{a ", "**a ", "~~a ", "$$ a ", "{\\bf a ", "[[a "])
+def test_marks_that_never_close_cost_one_pass(mark):
+    import time
+
+    began = time.time()
+    markup.converted(mark * 30_001)
+    assert time.time() - began < 10
+
+
 def test_content_region_is_the_best_contiguous_run():
     text = "<a href=x><a href=y></a></a>\nreal words of the content\nmore words are here\n<!-- x --><br/>"
     a, b = markup.content_region(text, {})
@@ -361,6 +370,13 @@ def test_detection_of_odd_rows(spark, model):
     assert languages.detect(df.limit(0), model).count() == 0
 
 
+def test_no_samples_give_no_languages(spark):
+    none = spark.createDataFrame([], "sample_id long, lang string, text string")
+    docs = spark.createDataFrame([(1, "Some text of several words in a row, long enough.", "en")], "doc_id long, text string, lang string")
+    r = languages.detect(docs, languages.fit(none, docs)).first()
+    assert (r.languages, r.segments, r.label_missing, r.label_wrong) == ([], [], False, False)
+
+
 def test_labels():
     told = languages.language_of_label
     assert [told(x) for x in ("en ", "en-US", "DEU", "Português", "fr_FR", "xx", "??", "", None, "unknown")] == ["en", "en", "de", "pt", "fr", None, None, None, None, None]
