@@ -8,7 +8,8 @@ Candidates are thinned by a sketch of the minima and verified exactly on the shi
 
 Exact copies (equal shingle sets) become one class before any key is formed, so a group of copies costs one row however
 large it is. A key that very many classes share (long boilerplate) would pair them all; the classes of such keys are
-instead joined exactly by rare shingles, of which two sets alike must share some. Nothing is capped or dropped.
+instead joined by rare shingles, which finds every pair alike that shares one. Those that share none keep the hot keys.
+Nothing is capped or dropped.
 """
 
 from __future__ import annotations

@@ -61,9 +61,10 @@ def crowded_pairs(sets: DataFrame, buckets: DataFrame, threshold: float, hot: in
 
     A shingle of more than `hot` classes is common. Two sets of sizes n_a <= n_b alike share at least t/(1+t) (n_a+n_b)
     shingles, so at least 2t/(1+t) n_a. Where a has fewer common ones than that, both share `need` rare shingles or more,
-    and so one of the first (rare - need + 1) of a in one order of shingles: these pairs are found exactly. Only a set that is
-    common for the greater part can be alike without a rare shingle, and only with one that is common to t of its size;
-    those few keep their hot keys, and nearly all of their pairs are pairs alike.
+    and so one of the first (rare - need + 1) of a in one order of shingles. Otherwise they may share any rare one, so all
+    of a's are looked up, or none. So every pair alike that shares a rare shingle is found exactly. Without one, both sets must
+    be common to t of the larger: those few keep their hot keys, nearly all of their pairs are pairs alike, and they are
+    found with the recall of the keys.
     """
     t = threshold - 1e-9
     rows = written(sets.select("klass", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "crowded")
@@ -74,8 +75,8 @@ def crowded_pairs(sets: DataFrame, buckets: DataFrame, threshold: float, hot: in
     profile = written(whole.join(counted.drop("n"), "klass", "left").select("klass", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("f"), "r", "p"), "profiles")
     need = F.ceil(F.lit(2 * t / (1 + t)) * F.col("n")) - F.col("f")
     # of the rare shingles those of this class alone come first in the order and need no row
-    head = F.slice("p", F.lit(1), F.greatest(F.lit(0), F.size("p") - need + 1).cast("int"))
-    a = profile.where((need >= 1) & F.col("p").isNotNull()).select(F.col("klass").alias("x"), F.col("n").alias("nx"), F.explode(head).alias("e")).select("x", "nx", "e.s")
+    head = F.slice("p", F.lit(1), F.greatest(F.lit(0), F.size("p") - F.greatest(need, F.lit(1)) + 1).cast("int"))
+    a = profile.where(F.col("p").isNotNull()).select(F.col("klass").alias("x"), F.col("n").alias("nx"), F.explode(head).alias("e")).select("x", "nx", "e.s")
     b = profile.where(F.col("p").isNotNull()).select(F.col("klass").alias("y"), F.col("n").alias("ny"), F.explode("p").alias("e")).select("y", "ny", "e.s")
     able = (F.col("x") != F.col("y")) & (F.col("ny") >= F.col("nx")) & (F.col("nx") >= F.lit(t) * F.col("ny"))
     by_rare = a.join(b, "s").where(able).select("x", "y")

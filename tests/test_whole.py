@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark import plans
 from quillspark.functions import statistics as st
+from quillspark.operators import dedup
 
 
 def test_whole_comparison_draws_ten_thousand(spark):
@@ -25,3 +26,23 @@ def test_whole_comparison_draws_ten_thousand(spark):
     assert queries["paired_verdict_whole"](spark, DATA).first().verdict == won
     own = st.bootstrap([0.0] * len(d), list(d))
     assert [boot.low, boot.high] == pytest.approx([own["low"], own["high"]], abs=0.02)
+
+
+def test_crowded_sets_with_few_rare_shingles(spark):
+    """Mostly common sets that are alike only by their rare shingles, without any key in common."""
+    t, hot = 0.7, 20
+    sets = {k: set(range(100)) | {1000 + 10 * k + j for j in range(5)} for k in range(2, 30)}
+    sets[0] = set(range(75)) | set(range(200, 215))
+    sets[1] = set(range(64)) | set(range(200, 236))
+    rng = np.random.default_rng(4)
+    for k in range(30, 90):
+        sets[k] = set(rng.choice(100, rng.integers(50, 90), replace=False).tolist()) | set((300 + rng.choice(60, rng.integers(5, 30), replace=False)).tolist())
+    df = {x: sum(x in s for s in sets.values()) for x in set().union(*sets.values())}
+    alike = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t}
+    want = {(a, b) for a, b in alike if any(df[x] <= hot for x in sets[a] & sets[b])}
+    rows = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "klass long, shingles array<long>")
+    keyless = spark.createDataFrame([], "klass long, bucket long")
+    keyed = spark.createDataFrame([(k, 7) for k in sets], "klass long, bucket long")
+    pairs = lambda buckets: {tuple(r) for r in dedup.crowded_pairs(rows, buckets, t, hot).collect()}
+    assert (0, 1) in want and want <= pairs(keyless)
+    assert alike - want and alike <= pairs(keyed)
