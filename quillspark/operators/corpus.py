@@ -24,7 +24,7 @@ class IngestConfig:
     dedup: bool = True
 
 
-_FROZEN = "doc_id string, text string, title string, sha string, normal boolean"
+_FROZEN = "doc_id string, text string, title string, sha string, normal boolean, sections array<struct<section_path:string,char_start:int,char_end:int>>"
 _CHUNKS = "chunk_uid string, doc_id string, chunker_config_id string, char_start int, char_end int, text string, raw_text_sha256 string, dup_of string, tombstoned_at timestamp_ntz"
 _ERRORS = "doc_id string, stage string, reason string"
 
@@ -50,16 +50,20 @@ def ingest(files: DataFrame, root: str, how: IngestConfig = IngestConfig()) -> D
     seen = files.select("doc_id").distinct()
     failed = parsed.where("error is not null").select("doc_id", F.lit("parse").alias("stage"), F.col("error").alias("reason"))
     failed = failed.unionByName(seen.join(mains, "doc_id", "left_anti").select("doc_id", F.lit("acquire").alias("stage"), F.lit("no main file").alias("reason")))
-    good = parsed.where("error is null and length(text) > 0").select("doc_id", "text", "title", F.sha2("text", 256).alias("sha"), F.lit(True).alias("normal"))
+    good = parsed.where("error is null and length(text) > 0").select("doc_id", "text", "title", F.sha2("text", 256).alias("sha"), F.lit(True).alias("normal"), "sections")
     canonical = _kept(spark, f"{root}/canonical", _FROZEN)
     actions = written(tables.frozen(good, canonical), "actions")
     failed = failed.unionByName(actions.where("action = 'conflict'").select("doc_id", F.lit("freeze").alias("stage"), F.lit("another text is frozen").alias("reason")))
     fresh = good.join(actions.where("action = 'insert'"), "doc_id", "left_semi")
     n_new = fresh.count()
-    if n_new:
-        tables.swap(written(canonical.unionByName(fresh), "canonical"), f"{root}/canonical")
+    # tables of before sections were kept have none; those of an equal text are taken from it
+    known = good.select("doc_id", "sha", F.col("sections").alias("_sections"))
+    if n_new or not canonical.where("sections is null").join(known, ["doc_id", "sha"], "left_semi").isEmpty():
+        filled = canonical.join(known, ["doc_id", "sha"], "left").withColumn("sections", F.coalesce("sections", "_sections")).select(*canonical.columns)
+        tables.swap(written(filled.unionByName(fresh), "canonical"), f"{root}/canonical")
     canonical = _kept(spark, f"{root}/canonical", _FROZEN)
-    tables.swap(quality_report(canonical), f"{root}/quality")
+    length = F.aggregate("sections", F.lit(0), lambda n, x: n + x["char_end"] - x["char_start"])
+    tables.swap(quality_report(canonical, canonical.select("doc_id", length.alias("section_chars"))), f"{root}/quality")
     label = REGISTRY.get("chunker", "fixed").config_id(size=how.chunk.size, overlap=how.chunk.overlap)
     chunks = written(fixed_chunks(canonical, how.chunk, config_id=label), "chunks")
     if not span_mismatches(chunks, canonical).isEmpty():

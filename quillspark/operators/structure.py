@@ -80,6 +80,24 @@ def header_rates(df: DataFrame, doc: str = "doc_id", text: str = "text", short:
     return counted.groupBy("doc_id").agg((F.sum(F.when(bad, F.col("n")).otherwise(0)) / F.sum("n")).alias("header_footer_contamination_rate"))
 
 
+def section_chars(sections: DataFrame) -> DataFrame:
+    """doc_id, section_chars: the summed lengths of each document's sections."""
+    return sections.groupBy("doc_id").agg(F.sum(F.col("char_end") - F.col("char_start")).alias("section_chars"))
+
+
+def _with_coverage(lengths: DataFrame, covered: DataFrame) -> DataFrame:
+    """lengths (doc_id, n_chars, ...) with mean_section_label_coverage: 1 at most, 0 for a document without sections or
+    characters, null where section_chars is null (sections not known)."""
+    out = lengths.join(covered.select("doc_id", "section_chars", F.lit(True).alias("_listed")), "doc_id", "left")
+    share = F.when(F.col("_listed").isNull() | (F.col("n_chars") == 0), 0.0).when(F.col("section_chars").isNotNull(), F.least(F.lit(1.0), F.col("section_chars") / F.col("n_chars")))
+    return out.withColumn("mean_section_label_coverage", share).drop("_listed")
+
+
+def section_coverage(df: DataFrame, covered: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, mean_section_label_coverage of every document with a text. covered: doc_id, section_chars."""
+    return _with_coverage(df.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.length(text).alias("n_chars")), covered).select("doc_id", "mean_section_label_coverage")
+
+
 def quality_report(df: DataFrame, covered: DataFrame | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document with a text; without spans every rate is 0. covered: doc_id, section_chars."""
     texts = df.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.length(text).alias("n_chars"))
@@ -93,8 +111,8 @@ def quality_report(df: DataFrame, covered: DataFrame | None = None, doc: str = "
     rates = ("header_footer_contamination_rate", "broken_math_span_rate", "unexpanded_macro_rate", "reference_only_span_rate", "mean_span_length_chars", "short_span_rate")
     columns = [F.round(F.coalesce(c, F.lit(0.0)), 9).alias(c) for c in rates]
     if covered is not None:
-        out = out.join(covered, "doc_id", "left")
-        columns.append(F.round(F.when(F.col("n_chars") > 0, F.least(F.lit(1.0), F.coalesce("section_chars", F.lit(0)) / F.col("n_chars"))).otherwise(0.0), 9).alias("mean_section_label_coverage"))
+        out = _with_coverage(out, covered)
+        columns.append(F.round("mean_section_label_coverage", 9).alias("mean_section_label_coverage"))
     return out.select("doc_id", "n_chars", F.coalesce("n_spans", F.lit(0)).alias("n_spans"), *columns)
 
 

@@ -181,6 +181,9 @@ _add(
 SELECT d.doc_id, length(text) AS n_chars, coalesce(n_spans, 0) AS n_spans, round(coalesce(h, 0.0), 9) AS header_footer_contamination_rate, round(coalesce(b, 0.0), 9) AS broken_math_span_rate, round(coalesce(m, 0.0), 9) AS unexpanded_macro_rate, round(coalesce(f, 0.0), 9) AS reference_only_span_rate, round(coalesce(l, 0.0), 9) AS mean_span_length_chars, round(coalesce(s, 0.0), 9) AS short_span_rate
 FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN header h ON d.doc_id = h.doc_id WHERE text IS NOT NULL""",
 )
+# With the coverage by sections, which the SQL of the two above lacks
+_add("quality_coverage_whole", lambda s, d: sc.section_coverage(_docs(s, d), sc.section_chars(_sections(s, d))).select("doc_id", F.round("mean_section_label_coverage", 9).alias("coverage")))
+_add("quality_report_whole", lambda s, d: sc.quality_report(_docs(s, d), sc.section_chars(_sections(s, d))).withColumn("n_chars", F.col("n_chars").cast("bigint")))
 _SEVEN = ("header_footer_contamination_rate", "broken_math_span_rate", "unexpanded_macro_rate", "reference_only_span_rate", "mean_section_label_coverage", "mean_span_length_chars", "short_span_rate")
 _add("quality_aggregate", lambda s, d: table(s, d, "parse_quality").groupBy("parser_id").agg(*[F.round(F.avg(c), 9).alias(c) for c in _SEVEN]), f"SELECT parser_id, {', '.join(f'round(avg({c}), 9) AS {c}' for c in _SEVEN)} FROM parse_quality GROUP BY parser_id")
 _add("quality_by_parser", lambda s, d: table(s, d, "parse_quality").where("parser_id = 'latex.v3'").agg(F.count("*").alias("n"), F.round(F.avg("mean_section_label_coverage"), 9).alias("coverage")), "SELECT count(*) AS n, round(avg(mean_section_label_coverage), 9) AS coverage FROM parse_quality WHERE parser_id = 'latex.v3'")

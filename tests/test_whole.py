@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillspark import plans
 from quillspark.functions import statistics as st
-from quillspark.operators import dedup
+from quillspark.operators import corpus, dedup, structure
+from quillspark.operators.latex import parse
 
 
 def test_whole_comparison_draws_ten_thousand(spark):
@@ -46,3 +47,41 @@ def test_crowded_sets_with_few_rare_shingles(spark):
     pairs = lambda buckets: {tuple(r) for r in dedup.crowded_pairs(rows, buckets, t, hot).collect()}
     assert (0, 1) in want and want <= pairs(keyless)
     assert alike - want and alike <= pairs(keyed)
+
+
+def test_coverage_by_sections(spark):
+    df = spark.createDataFrame([("a", "x" * 10), ("b", "y" * 8), ("c", ""), ("d", "z" * 5), ("e", None), ("f", "u")], "doc_id string, text string")
+    sections = spark.createDataFrame([("a", 2, 4), ("a", 4, 7), ("b", 0, 6), ("b", 3, 8), ("c", 0, 1)], "doc_id string, char_start int, char_end int")
+    covered = structure.section_chars(sections).unionByName(spark.createDataFrame([("f", None)], "doc_id string, section_chars long"))
+    want = {"a": 0.5, "b": 1.0, "c": 0.0, "d": 0.0, "f": None}
+    assert {r.doc_id: r.mean_section_label_coverage for r in structure.section_coverage(df, covered).collect()} == want
+    assert {r.doc_id: r.mean_section_label_coverage for r in structure.quality_report(df, covered).collect()} == want
+
+
+def test_quality_queries_cover_every_document(spark):
+    queries = plans.queries()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null").collect()}
+    chars = dict.fromkeys(texts, 0)
+    for r in queries["section_offsets"](spark, DATA).collect():
+        chars[r.doc_id] += r.char_end - r.char_start
+    want = {k: round(min(1.0, n / len(texts[k])), 9) if texts[k] else 0.0 for k, n in chars.items()}
+    assert {r.doc_id: r.coverage for r in queries["quality_coverage_whole"](spark, DATA).collect()} == want
+    assert {r.doc_id: r.mean_section_label_coverage for r in queries["quality_report_whole"](spark, DATA).collect()} == want
+
+
+def test_ingest_keeps_sections_and_their_coverage(spark, tmp_path):
+    body = "\\documentclass{article}\\begin{document}before it \\section{One} text of one \\section{Two} text of two\\end{document}"
+    trees = {"a": body, "b": "\\documentclass{article}\\begin{document}no heading at all\\end{document}"}
+    files = spark.createDataFrame([(k, "main.tex", x) for k, x in trees.items()], "doc_id string, path string, content string")
+    root = str(tmp_path / "corpus")
+    want = {}
+    for k, x in trees.items():
+        p = parse({"main.tex": x}, "main.tex")
+        want[k] = round(min(1.0, sum(end - start for _, start, end in p.sections) / len(p.text)), 9)
+    rates = lambda: {r.doc_id: r.mean_section_label_coverage for r in spark.read.parquet(f"{root}/quality").collect()}
+    corpus.ingest(files, root)
+    assert 0 < want["a"] < 1 and want["b"] == 0 and rates() == want
+    old = spark.createDataFrame(spark.read.parquet(f"{root}/canonical").drop("sections").collect(), "doc_id string, text string, title string, sha string, normal boolean")
+    old.write.mode("overwrite").parquet(f"{root}/canonical")
+    corpus.ingest(files, root)
+    assert rates() == want
