@@ -8,7 +8,7 @@ from quillspark.functions.ids import base_id_sql, version_sql
 from quillspark.llm.group_splits import group_splits, related
 from quillspark.llm.languages import detect, fit
 from quillspark.llm.leaks import leaks
-from quillspark.llm.markup import clean_texts, labelled_pages, learned_weights
+from quillspark.llm.markup import clean_texts, labelled_blocks, learned_weights
 from quillspark.llm.near_duplicates import Banding, found_pairs, near_duplicates
 from quillspark.llm.splitting import split_oversized
 from quillspark.llm.survivors import survivors
@@ -67,17 +67,18 @@ def p5_splits(spark, d):
 
 def _cleaned(spark, d):
     papers, chunks = table(spark, d, "papers"), table(spark, d, "chunks")
-    weights = learned_weights(labelled_pages(chunks, table(spark, d, "parse_quality")))
+    weights = learned_weights(labelled_blocks(spread(chunks), table(spark, d, "parse_quality")))
     keyed = lambda df, kind, key, text: df.select(F.lit(kind).alias("record_kind"), F.col(key).alias("record_key"), F.col(text).alias("raw"))
     return clean_texts(spread(keyed(papers, "paper", "doc_id", "abstract")).unionByName(spread(keyed(chunks, "chunk", "chunk_uid", "text"))), ["record_kind", "record_key"], "raw", weights)
 
 
 def p6_found(spark, d):
-    return _cleaned(spark, d).where("n_constructs > 0").select("record_kind", "record_key").distinct()
+    """Texts in which the scan for the content region meets a token that scores negative."""
+    return _cleaned(spark, d).where("residue < 0").select("record_kind", "record_key").distinct()
 
 
 def p6_clean(spark, d):
-    return _cleaned(spark, d).select("record_kind", "record_key", "clean_text", "n_constructs", "content_start", "content_end")
+    return _cleaned(spark, d).select("record_kind", "record_key", "clean_text", "n_constructs", "residue", "content_start", "content_end")
 
 
 def p7_ids(spark, d):

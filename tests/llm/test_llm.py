@@ -239,7 +239,7 @@ def test_markup_keeps_structure():
     assert c.text.startswith("Intro\n\n- one\n- two\n\n") and "run\tdepth\nA\t3" in c.text and "$x_{1}$ stays" in c.text
 
 
-@pytest.mark.parametrize("mark", ["__x ", "$x ", "\\[ x ", "''a ", "<!-- a ", "{{a ", "**a ", "~~a ", "$$ a ", "{\\bf a ", "[[a "])
+@pytest.mark.parametrize("mark", ["__x ", "$x ", "\\[ x ", "''a ", "<!-- a ", "{{a ", "**a ", "~~a ", "$$ a ", "{\\bf a ", "[[a ", "\\textbf{a ", "<script> ", "\\begin{equation} a ", "*a ", "_a ", "<pre> "])
 def test_marks_that_never_close_cost_one_pass(mark):
     import time
 
@@ -248,12 +248,65 @@ def test_marks_that_never_close_cost_one_pass(mark):
     assert time.time() - began < 10
 
 
+@pytest.mark.parametrize("left,right", [("{{a ", "}}"), ("\\emph{a ", "}"), ("{\\it a ", "}"), ("[[a ", "]]")])
+def test_deep_nesting_costs_one_pass(left, right):
+    import time
+
+    began, n = time.time(), 3_000
+    c = markup.converted("words before " + left * n + right * n)
+    assert time.time() - began < 10 and sum(c.kinds.values()) == n and "}" not in c.text and "]" not in c.text
+
+
+def test_constructs_have_no_bound_on_length_or_depth():
+    assert markup.converted("\\textbf{\\emph{\\textit{\\underline{\\textsc{\\texttt{deep}}}}}} x").text == "deep x"
+    assert markup.converted("{{a {{b}} c}} word").text.strip() == "word"
+    for left, right, body in (("*", "*", "an italic paragraph "), ("__", "__", "a bold paragraph "), ("~~", "~~", "a struck paragraph "), ("''", "''", "a wiki paragraph ")):
+        body = (body * 200).strip()
+        assert markup.converted(f"see {left}{body}{right} here").text == f"see {body} here"
+    for closed in ("$$ " + "a+b " * 4_000 + "$$", "\\[ " + "a+b " * 4_000 + "\\]", "\\( " + "a+b " * 4_000 + "\\)", "$ " + "a+b " * 4_000 + "$"):
+        assert not markup.converted(f"so {closed} holds").kinds
+    assert markup.converted("\\newcommand{\\a}{x{y{z{w}}}} text here").text.strip() == "text here"
+
+
 def test_content_region_is_the_best_contiguous_run():
-    text = "<a href=x><a href=y></a></a>\nreal words of the content\nmore words are here\n<!-- x --><br/>"
-    a, b = markup.content_region(text, {})
-    assert text[a:b] == "real words of the content\nmore words are here\n"
-    w = markup.learned_weights([("word " * 50, False), ("word <br/> \\foo " * 50, True)])
-    assert w["word"] == 1 and w["tag"] < 0 and w["command"] < 0
+    nav, words_ = "[Home](/a) | [About us](/b) | [Contact](/c)\n", "The real words of the content are here.\nThey hold one <b>mark</b> and go on.\n\n- a list item\n"
+    text = nav + words_ + '<a href="/x">Next</a> <a href="/y">Prev</a>\n<!-- end -->'
+    c = markup.converted(text)
+    assert text[c.start : c.end] == words_ and c.text == "The real words of the content are here.\nThey hold one mark and go on.\n\n- a list item" and c.residue < 0
+    scores = [random.Random(3).choice([-2, -1, 1, 2]) for _ in range(1)] + [1, -3, 2, 0, 1, -1, 4, -9, 3]
+    a, b = markup.best_run(scores)
+    assert sum(scores[a:b]) == max(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)) and markup.best_run([-1, -2]) == (0, 2)
+
+
+def test_learned_weights_find_the_content_of_held_out_pages():
+    rng = random.Random(4)
+    prose = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(8, 20))) + (" **bold** end." if rng.random() < 0.3 else ".")
+    nav = lambda: " | ".join(f"[w{rng.randrange(500)}](/p/{k})" for k in range(rng.randrange(2, 6)))
+
+    def page():
+        dirty = rng.random() < 0.6
+        content = [prose() for _ in range(rng.randrange(1, 6))]
+        top, foot = ([nav() for _ in range(rng.randrange(1, 3))] if dirty and rng.random() < 0.8 else [] for _ in range(2))
+        return dirty, top, content, foot
+
+    seen = collections.Counter((dirty, tuple(sorted(tokens.items()))) for dirty, *parts in (page() for _ in range(400)) for tokens in markup.block_tokens("\n".join(x for p in parts for x in p)))
+    weights = markup.learned_weights([(r, dict(t), n) for (r, t), n in seen.items()])
+    assert weights[markup.LINK_WORD] < weights["markdown_bold"] < 0 and weights["markdown_link"] < weights["markdown_bold"]
+    kept = true = both = 0
+    for _, top, content, foot in (page() for _ in range(400)):
+        text = "\n".join([*top, *content, *foot])
+        c = markup.converted(text, weights)
+        at = len("\n".join([*top, ""])) if top else 0
+        end = at + len("\n".join(content))
+        kept, true, both = kept + c.end - c.start, true + end - at, both + max(0, min(end, c.end) - max(at, c.start))
+    assert both / true > 0.99 and both / kept > 0.98, (both / true, both / kept)
+
+
+def test_suspects_are_the_same_in_both_engines(spark):
+    texts = ["voici _\u00e9lan_ vital", "x --> y", "a ]]> b", "- - -\nx", "*  *  *\nx", "_ _ _\nx", "plain words", "\u00e9_a_ b", "n\u00e4_ive_", "1 < 2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {r.k: r.clean_text for r in markup.clean_texts(df, ["k"], "text").collect()}
+    assert got == {k: markup.converted(t).text for k, t in enumerate(texts)} and got[0] == "voici \u00e9lan vital"
 
 
 def test_markup_rows(spark):
