@@ -43,12 +43,11 @@ class Profiles:
     dimensions: int = 2048
     run: int = 4
     seed: int = 7
-    #: Letters of a segment from which on its language is told, and the least lead of the best cosine over the second.
+    #: Least lead of the best cosine over the second at which a sentence's language is told, from `letters` on; a shorter one
+    #: needs more, up to short_lead beyond it, so that names and references of few letters are no languages.
     letters: int = 35
     lead: float = 0.04
-    #: Letters and lead that are enough for a whole text none of whose segments has a told language.
-    text_letters: int = 12
-    text_lead: float = 0.0
+    short_lead: float = 0.2
     #: Bounds on the labelled rows the prototypes are made of (those of smallest hash): samples, and documents.
     samples: int = 10_000
     documents: int = 4_000
@@ -59,6 +58,11 @@ class Profiles:
     #: Steepness of the confidence: 1 / (1 + sum over the other languages of exp(-steepness * lead over each)).
     steepness: float = 40.0
 
+    def least_lead(self, letters: np.ndarray | float) -> np.ndarray | float:
+        """The lead that a text of so many letters needs; a text without letters has none that is enough."""
+        need = self.lead + self.short_lead * np.maximum(0.0, 1 - np.asarray(letters) / self.letters)
+        return np.where(np.asarray(letters) > 0, need, np.inf)
+
 
 @lru_cache(maxsize=1)
 def _letter_table() -> np.ndarray:
@@ -241,8 +245,9 @@ def _confidence(scores: np.ndarray, best: int, how: Profiles) -> float:
     return float(1 / np.exp(-how.steepness * (scores[best] - scores)).sum())
 
 
-def _judged(texts: list[str], model: Model) -> list[tuple[list[dict], list[dict]]]:
-    """For each text: its languages (lang, confidence, letters) and its segments (start, end, lang, confidence)."""
+def _judged(texts: list[str], model: Model, labels: list[str | None] | None = None) -> list[tuple[list[dict], list[dict]]]:
+    """For each text: its languages (lang, confidence, letters) and its segments (start, end, lang, confidence). labels are
+    the languages that the texts' labels spell; they count only for a text none of whose sentences has a told language."""
     how = model.how
     if not model.languages:
         return [([], []) for _ in texts]
@@ -250,12 +255,13 @@ def _judged(texts: list[str], model: Model) -> list[tuple[list[dict], list[dict]
     scores, letters = scored([t[a:b] for t, s in zip(texts, spans) for a, b in s], how, model.table)
     leads, best = _leads(scores), scores.argmax(axis=1)
     sure = 1 / np.exp(-how.steepness * (scores.max(axis=1, keepdims=True) - scores)).sum(axis=1)
+    told = leads >= how.least_lead(letters)
     out, at = [], 0
-    for text, parts in zip(texts, spans):
+    for text, parts, label in zip(texts, spans, labels or [None] * len(texts)):
         segments: list[dict] = []
         weights: dict[str, list[float]] = {}
         for k, (a, b) in enumerate(parts, at):
-            if letters[k] < how.letters or leads[k] < how.lead:
+            if not told[k]:
                 if segments:
                     segments[-1]["end"] = b
                 continue
@@ -272,12 +278,14 @@ def _judged(texts: list[str], model: Model) -> list[tuple[list[dict], list[dict]
                 segments.append({"start": a if segments else 0, "end": b, "lang": code, "confidence": float(sure[k]), "n": n})
         own, n = scores[at : at + len(parts)], letters[at : at + len(parts)]
         at += len(parts)
-        if not segments and n.sum() >= how.text_letters:
+        if not segments and n.sum():
             mean = (own * n[:, None]).sum(axis=0) / n.sum()
-            if _leads(mean[None])[0] > how.text_lead:
-                code, c = model.languages[int(mean.argmax())], _confidence(mean, int(mean.argmax()), how)
-                weights[code] = [float(n.sum()), c * float(n.sum())]
-                segments = [{"start": 0, "end": len(text), "lang": code, "confidence": c, "n": float(n.sum())}]
+            chosen = int(mean.argmax())
+            if label in model.languages and mean[chosen] - mean[model.languages.index(label)] < how.least_lead(n.sum()):
+                chosen = model.languages.index(label)
+            code, c = model.languages[chosen], _confidence(mean, chosen, how)
+            weights[code] = [float(n.sum()), c * float(n.sum())]
+            segments = [{"start": 0, "end": len(text), "lang": code, "confidence": c, "n": float(n.sum())}]
         out.append(([{"lang": c, "confidence": w[1] / w[0], "letters": int(w[0])} for c, w in sorted(weights.items(), key=lambda x: (-x[1][0], x[0]))], [{k: s[k] for k in ("start", "end", "lang", "confidence")} for s in segments]))
     return out
 
@@ -289,9 +297,10 @@ _SEGMENTS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("la
 def detect(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
     """key, label, label_lang, languages (most letters first), segments, label_missing, label_wrong, is_mixed.
 
-    Segments cover the text from its first sentence; a sentence too short or too close to two prototypes goes with the one
-    before it. Null texts and texts without enough letters have no languages or segments, and nothing is said about
-    their label. A label that spells the right language otherwise is right. One row for each row of `df`; other columns are
+    Segments cover the text from its first sentence; a sentence too close to two prototypes for its length goes with the one
+    before it. A text without one sentence that is told has the language that its label spells, unless another leads over
+    it by enough for the text's length; without such a label the nearest. Null texts and texts without letters of the six
+    languages have no languages or segments, and nothing is said about their label. A label that spells the right language otherwise is right. One row for each row of `df`; other columns are
     not read.
     """
     rows = df.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(text).alias("text"))
@@ -305,17 +314,17 @@ def detect(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
         for batch in batches:
             texts = batch.column(2).to_pylist()
             judged: list[tuple[list[dict], list[dict]]] = []
+            labels = batch.column(1).to_pylist()
+            spelled = {x: language_of_label(x) for x in set(labels)}
+            codes = [spelled[x] for x in labels]
             at = 0
             while at < len(texts):  # blocks of about a million characters bound the arrays
                 end, size = at, 0
                 while end < len(texts) and (end == at or size < 1_000_000):
                     size += len(texts[end] or "")
                     end += 1
-                judged += _judged([t or "" for t in texts[at:end]], known)
+                judged += _judged([t or "" for t in texts[at:end]], known, codes[at:end])
                 at = end
-            labels = batch.column(1).to_pylist()
-            spelled = {x: language_of_label(x) for x in set(labels)}
-            codes = [spelled[x] for x in labels]
             told = [{x["lang"] for x in j[0]} for j in judged]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -423,6 +423,17 @@ def test_detection_of_odd_rows(spark, model):
     assert languages.detect(df.limit(0), model).count() == 0
 
 
+def test_short_sentences_and_texts(spark, model):
+    en = "The authors of the study argue that no baseline run improves the index when the pool is small. "
+    told = lambda text, label=None: [x["lang"] for x in languages._judged([text], model, [label])[0][0]]
+    assert told(en + "Das ist leider nicht ganz richtig so.") == ["en", "de"]
+    assert told(en + "Thembuxast. W. Theshaelel, 1995.") == ["en"]
+    assert told("Es ist gut.", "de") == ["de"] and told("Es ist gut.") == ["de"] and told("That is fine.", "en") == ["en"]
+    assert told("1.2 --") == [] and told("\u65e5\u672c\u8a9e\u306e\u6587") == []
+    less = languages.Profiles().least_lead(languages.np.array([0, 5, 20, 35, 500]))
+    assert less[0] == float("inf") and less[1] > less[2] > less[3] == less[4] == 0.04
+
+
 def test_no_samples_give_no_languages(spark):
     none = spark.createDataFrame([], "sample_id long, lang string, text string")
     docs = spark.createDataFrame([(1, "Some text of several words in a row, long enough.", "en")], "doc_id long, text string, lang string")
