@@ -55,14 +55,14 @@ def p4_pieces(spark, d):
 
 
 def p5_found(spark, d):
-    groups = related(table(spark, d, "queries"))
-    return groups.join(groups.groupBy("group_id").count().where("count > 1").select("group_id"), "group_id", "left_semi").select("query_id", "group_id")
+    splits = p5_splits(spark, d)
+    return splits.join(splits.groupBy("group_id").count().where("count > 1").select("group_id"), "group_id", "left_semi").select("query_id", "group_id")
 
 
 def p5_splits(spark, d):
     queries = table(spark, d, "queries")
     label = queries.select("query_id", F.startswith("stratum", F.lit("unanswerable_")).cast("int").alias("label"))
-    return group_splits(written(related(queries), "groups"), "query_id", label)
+    return written(group_splits(written(related(queries), "groups"), "query_id", label), "splits")
 
 
 def _cleaned(spark, d):

@@ -193,6 +193,30 @@ def test_shares_are_met(spark, seed):
     assert all(abs(share[s] / n - want) < 0.02 for s, want in (("train", 0.8), ("validation", 0.1), ("test", 0.1))), share
 
 
+@pytest.mark.parametrize("most", [300, 10, 1])
+def test_many_profiles_keep_their_labels(most):
+    rng = random.Random(11)
+    profiles = collections.Counter((size, rng.randrange(size + 1)) for size in [rng.choice([1, 1, 2, 3, 5, 8, 13]) for _ in range(900)] + list(range(2, 60)) * 3)
+    bundles = [group_splits.Bundle(s, x, n) for (s, x), n in sorted(profiles.items())]
+    shares = (0.8, 0.1, 0.1)
+    taken = group_splits.allocate(bundles, shares, most)
+    assert all(sum(t) == b.count and min(t) >= 0 for t, b in zip(taken, bundles)) and len(bundles) > 100
+    for weight in ("size", "label"):
+        total = sum(getattr(b, weight) * b.count for b in bundles)
+        got = [sum(getattr(b, weight) * t[j] for b, t in zip(bundles, taken)) for j in range(3)]
+        assert all(abs(g - total * s) <= max(3, 0.005 * total) for g, s in zip(got, shares)), (weight, got, [total * s for s in shares])
+
+
+def test_very_many_profiles_end_soon():
+    import time
+
+    bundles = [group_splits.Bundle(s, x, 1 + (s * x) % 3) for s in range(1, 130) for x in range(s + 1)]
+    began = time.time()
+    taken = group_splits.allocate(bundles, (0.8, 0.1, 0.1))
+    labels = sum(b.label * b.count for b in bundles)
+    assert time.time() - began < 30 and abs(sum(b.label * t[1] for b, t in zip(bundles, taken)) - 0.1 * labels) < 0.002 * labels
+
+
 def test_min_cost_flow_against_enumeration():
     arcs = [(0, 1, 4, 0), (0, 2, 3, 0), (1, 3, 3, 1), (1, 4, 3, 2), (2, 3, 2, 3), (2, 4, 3, 1), (3, 5, 3, 0), (4, 5, 5, 0)]
     flow = group_splits.min_cost_flow(6, arcs, 0, 5)
