@@ -1,9 +1,11 @@
 """Encoding of a corpus with a public byte-level tokenizer, by overlapping chunks.
 
-A text longer than a chunk is cut into overlapping chunks, which are pre-tokenised in parallel. Two neighbouring chunks are
+A text longer than a chunk is cut into overlapping chunks, which are pre-tokenised on their own. Two neighbouring chunks are
 stitched at the first boundary of pre-tokens that both find in their overlap: a pre-token depends only on what follows its
-start, so from a shared boundary on both chains are one. The pieces between stitches are then encoded and
-their ids concatenated. A shorter text is one chunk and needs no stitch.
+start, so from a shared boundary on both chains are one. A chunk without a stitch joins the piece before it up to its first
+place that is a boundary wherever a chain begins (a letter or digit before a space or line feed), or wholly where it has none.
+The pieces between are encoded and their ids concatenated. Texts of many chunks have them spread over tasks; the same
+functions stitch them there.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.storage import written
@@ -32,8 +34,16 @@ class Tokenizer:
     path: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     pattern: str = PATTERN
     #: Code points of a chunk and of what it shares with the next.
-    chunk: int = 16_384
-    overlap: int = 1_024
+    chunk: int = 4_096
+    overlap: int = 512
+    #: Chunks of a text from which on they are spread over tasks.
+    spread: int = 16
+
+    def chunks(self, length: int) -> int:
+        return -(-max(1, length - self.overlap) // self.chunk)
+
+    def slice(self, text: str, k: int) -> str:
+        return text[k * self.chunk :] if k == self.chunks(len(text)) - 1 else text[k * self.chunk : (k + 1) * self.chunk + self.overlap]
 
 
 @lru_cache(maxsize=4)
@@ -52,14 +62,44 @@ def boundaries(text: str, how: Tokenizer) -> list[int]:
     return [m.end() for m in regex.finditer(how.pattern, text)]
 
 
-def stitches(chunk: str, is_last: bool, how: Tokenizer) -> tuple[list[int], list[int]]:
-    """Offsets at which a chunk may be stitched to the one before and to the one after (there counted from that one's start).
+def stitches(chunk: str, is_last: bool, how: Tokenizer) -> tuple[list[int], list[int], int | None]:
+    """Offsets at which a chunk may be stitched to the one before and to the one after (there counted from that one's start), and
+    its first sure boundary before the next chunk starts.
 
     Only boundaries after a character that is no white space: a piece that ends there encodes as within the text.
     """
+    import regex
+
     ends = boundaries(chunk, how)
     safe = [e for e in ends if e <= len(chunk) - (0 if is_last else MARGIN) and not chunk[e - 1].isspace()]
-    return [e for e in safe if e < how.overlap], [e - how.chunk for e in safe if how.chunk <= e < how.chunk + how.overlap] if not is_last else []
+    sure = regex.search(r"[\p{L}\p{N}](?=[ \n])", chunk, endpos=min(len(chunk), how.chunk))
+    return [e for e in safe if e < how.overlap], [e - how.chunk for e in safe if how.chunk <= e < how.chunk + how.overlap] if not is_last else [], sure.end() if sure else None
+
+
+def pieces(found: list[tuple[list[int], list[int], int | None]]) -> list[tuple[int, int]]:
+    """(piece, offset of its cut) of each chunk, from its stitches; the cut is 0 where a chunk joins the piece before wholly.
+
+    A chunk's chain is the text's from its cut on. So it may be stitched to the next only if it has a cut.
+    """
+    out = [(0, 0)]
+    known, piece = True, 0
+    for (_, before, _), (head, _, sure) in zip(found, found[1:]):
+        shared = set(before) if known else set()
+        cut = next((e for e in head if e in shared), sure)
+        known = cut is not None
+        piece += known
+        out.append((piece, cut or 0))
+    return out
+
+
+def encoded(text: str, how: Tokenizer) -> list[int]:
+    """The ids of one text, chunk by chunk in this task."""
+    enc, n = encoding(how), how.chunks(len(text))
+    if n == 1:
+        return enc.encode_ordinary(text)
+    plan = pieces([stitches(how.slice(text, k), k == n - 1, how) for k in range(n)])
+    cuts = [k * how.chunk + cut for k, (piece, cut) in enumerate(plan) if not k or piece > plan[k - 1][0]]
+    return [i for a, b in zip(cuts, [*cuts[1:], len(text)]) for i in enc.encode_ordinary(text[a:b])]
 
 
 def _id_lists(ids: list[list[int]]) -> pa.ListArray:
@@ -76,49 +116,54 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", how: Token
     arrow_kind = pa.string() if kind == "string" else pa.int64()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(how)
         for batch in batches:
-            ids = [enc.encode_ordinary(t) if t else [] for t in batch.column(1).to_pylist()]
+            ids = [encoded(t, how) if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow_kind), _id_lists(ids)], names=["key", "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tag, k, t in zip(*(c.to_pylist() for c in batch.columns)):
-                n = -(-max(1, len(t) - how.overlap) // how.chunk)
+            for tag, t in zip(*(c.to_pylist() for c in batch.columns)):
+                n = how.chunks(len(t))
                 for at in range(0, n, 64):
                     ks = range(at, min(n, at + 64))
-                    slices = [t[c * how.chunk : (c + 1) * how.chunk + how.overlap] if c < n - 1 else t[c * how.chunk :] for c in ks]
-                    yield pa.RecordBatch.from_arrays([pa.array([tag] * len(ks), pa.int64()), pa.array([k] * len(ks), arrow_kind), pa.array(list(ks), pa.int32()), pa.array([c == n - 1 for c in ks]), pa.array(slices, pa.string())], names=["tag", "key", "k", "is_last", "slice"])
+                    yield pa.RecordBatch.from_arrays([pa.array([tag] * len(ks), pa.string()), pa.array(list(ks), pa.int32()), pa.array([k == n - 1 for k in ks]), pa.array([how.slice(t, k) for k in ks], pa.string())], names=["tag", "k", "is_last", "slice"])
 
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [stitches(t, last, how) for last, t in zip(batch.column("is_last").to_pylist(), batch.column("slice").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("tag"), batch.column("k"), _id_lists([f[0] for f in found]), _id_lists([f[1] for f in found])], names=["tag", "k", "head", "tail"])
+            yield pa.RecordBatch.from_arrays([batch.column("tag"), batch.column("k"), _id_lists([f[0] for f in found]), _id_lists([f[1] for f in found]), pa.array([f[2] for f in found], pa.int32())], names=["tag", "k", "head", "tail", "sure"])
+
+    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tag, ends in zip(batch.column("tag").to_pylist(), batch.column("ends").to_pylist()):
+                plan = pieces([(e["head"], e["tail"], e["sure"]) for e in ends])
+                yield pa.RecordBatch.from_arrays([pa.array([tag] * len(plan), pa.string()), pa.array(range(len(plan)), pa.int32()), pa.array([p for p, _ in plan], pa.int32()), pa.array([c for _, c in plan], pa.int32())], names=["tag", "k", "piece", "cut"])
 
     def join_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(how)
         for batch in batches:
-            ids = []
-            for parts in batch.column("parts").to_pylist():
-                whole = "".join(p["slice"][p["a"] : p["b"]] for p in parts)
-                ids.append(enc.encode_ordinary(whole))
-            yield pa.RecordBatch.from_arrays([batch.column("tag"), batch.column("key").cast(arrow_kind), batch.column("piece"), _id_lists(ids)], names=["tag", "key", "piece", "ids"])
-
-    short = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= how.chunk + how.overlap).mapInArrow(encode, f"key {kind}, ids array<int>")
-    long = rows.where(F.length("text") > how.chunk + how.overlap).select(F.monotonically_increasing_id().alias("tag"), "key", "text")
-    slices = written(long.mapInArrow(cut, f"tag long, key {kind}, k int, is_last boolean, slice string").repartition("tag", "k"), "slices")
-    ends = slices.select("tag", "k", "is_last", "slice").mapInArrow(pretokenise, "tag long, k int, head array<int>, tail array<int>")
-    w = Window.partitionBy("tag").orderBy("k")
-    common = ends.withColumn("before", F.lag("tail").over(w)).select("tag", "k", F.array_min(F.array_intersect("head", "before")).alias("cut"))
-    # A chunk without a stitch breaks the chain: it and all after it join the piece before, which is then encoded whole.
-    broken = F.max(F.when((F.col("k") > 0) & F.col("cut").isNull(), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    plan = common.withColumn("broken", broken).withColumn("start", F.when(F.col("k") == 0, 0).when(F.col("broken") == 1, 0).otherwise(F.col("cut"))).withColumn("next", F.lead(F.struct("start", "broken")).over(w))
-    plan = plan.withColumn("piece", F.sum(F.when(F.col("broken") == 1, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    end = F.when(F.col("next").isNull(), F.length("slice")).when(F.col("next.broken") == 1, F.lit(how.chunk)).otherwise(F.col("next.start") + how.chunk)
-    parts = slices.join(plan, ["tag", "k"]).select("tag", "key", "piece", F.struct("k", F.col("start").alias("a"), end.alias("b"), "slice").alias("part"))
-    whole = parts.groupBy("tag", "key", "piece").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    pieces = whole.mapInArrow(join_slices, f"tag long, key {kind}, piece long, ids array<int>")
-    stitched = pieces.groupBy("tag", "key").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p")).select("key", F.flatten("p.ids").alias("ids"))
+            ids = [enc.encode_ordinary("".join(p["part"] for p in parts)) for parts in batch.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("tag"), batch.column("piece"), _id_lists(ids)], names=["tag", "piece", "ids"])
+
+    one_task = how.spread * how.chunk + how.overlap
+    short = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= one_task).mapInArrow(encode, f"key {kind}, ids array<int>")
+    # rows of one key and text are encoded once; their tag is made of both, so it is the same when a task is repeated
+    long = rows.where(F.length("text") > one_task).groupBy("key", "text").agg(F.count("*").alias("n"))
+    long = written(long.select(F.sha2(F.concat_ws("\x1f", F.col("key").cast("string"), F.col("key").isNull().cast("string"), "text"), 256).alias("tag"), "key", "n", "text"), "long")
+    slices = written(long.select("tag", "text").mapInArrow(cut, "tag string, k int, is_last boolean, slice string").repartition("tag", "k"), "slices")
+    ends = slices.mapInArrow(pretokenise, "tag string, k int, head array<int>, tail array<int>, sure int")
+    by_text = ends.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("k", "head", "tail", "sure"))).alias("ends"))
+    plan = written(by_text.mapInArrow(stitch, "tag string, k int, piece int, cut int"), "plan")
+    # what a chunk gives to the piece before it, up to its cut, and to its own: each reaches as far as the next chunk starts
+    parts = slices.join(plan, ["tag", "k"])
+    opens = (F.col("k") == 0) | (F.col("cut") > 0)
+    own = F.struct("piece", "k", F.lit(1).alias("half"), F.expr(f"substring(slice, cut + 1, CASE WHEN is_last THEN length(slice) ELSE {how.chunk} - cut END)").alias("part"))
+    before = F.when(opens & (F.col("k") > 0), F.struct((F.col("piece") - 1).alias("piece"), F.col("k"), F.lit(0).alias("half"), F.expr("substring(slice, 1, cut)").alias("part")))
+    halves = parts.select("tag", F.explode(F.array_compact(F.array(before, own))).alias("p")).select("tag", "p.*")
+    whole = halves.groupBy("tag", "piece").agg(F.array_sort(F.collect_list(F.struct("k", "half", "part"))).alias("parts"))
+    encoded_pieces = whole.mapInArrow(join_slices, "tag string, piece int, ids array<int>")
+    stitched = encoded_pieces.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
+    stitched = long.select("tag", "key", "n").join(stitched, "tag").select("key", F.flatten("p.ids").alias("ids"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).select("key", "ids")
     return short.unionByName(stitched).withColumnRenamed("key", key)
 
 

@@ -344,12 +344,12 @@ def test_markup_rows(spark):
 
 # 7 token ids
 
-TEXTS = [None, "", "  ", "it's we're   \t\n" * 40, "a" * 700, "日本語テキスト" * 60, "<|endoftext|>" * 20, "é 😀 " * 80, " \n\n  x" * 90, "x1y2 " * 200, "\u2003 \u2003" * 100]
+TEXTS = [None, "", "  ", "it's we're   \t\n" * 40, "a" * 700, "日本語テキスト" * 60, "<|endoftext|>" * 20, "é 😀 " * 80, " \n\n  x" * 90, "x1y2 " * 200, "\u2003 \u2003" * 100, "b" * 300 + " c d " * 90 + "\u3042" * 250 + "!", "\x1c\x1f \x85" * 80, "1" * 333 + "." * 200 + " 'll" * 60]
 
 
-@pytest.mark.parametrize("chunk,overlap", [(16_384, 1_024), (100, 20), (64, 64), (50, 17)])
-def test_token_ids_equal_the_library(spark, chunk, overlap):
-    how = tokenizing.Tokenizer(chunk=chunk, overlap=overlap)
+@pytest.mark.parametrize("chunk,overlap,spread", [(4_096, 512, 16), (100, 20, 1), (100, 20, 4), (64, 64, 0), (50, 17, 2), (50, 17, 1_000)])
+def test_token_ids_equal_the_library(spark, chunk, overlap, spread):
+    how = tokenizing.Tokenizer(chunk=chunk, overlap=overlap, spread=spread)
     enc = tokenizing.encoding(how)
     df = spark.createDataFrame(list(enumerate(TEXTS)) + [(3, TEXTS[3])], "doc_id long, text string").withColumn("ids", F.lit(1)).withColumn("k", F.lit(1))
     got = collections.Counter((r.doc_id, tuple(r.ids)) for r in tokenizing.token_ids(df, how=how).collect())
@@ -358,6 +358,14 @@ def test_token_ids_equal_the_library(spark, chunk, overlap):
     assert tokenizing.token_ids(df.limit(0), how=how).count() == 0
 
 
+def test_a_chunk_without_a_stitch_breaks_the_chain_only_there():
+    how = tokenizing.Tokenizer(chunk=100, overlap=20)
+    text = "one two three " * 30 + "x" * 350 + " four five six" * 30
+    n = how.chunks(len(text))
+    plan = tokenizing.pieces([tokenizing.stitches(how.slice(text, k), k == n - 1, how) for k in range(n)])
+    assert plan[-1][0] > n - 7 and len({p for p, _ in plan}) < n and tokenizing.encoded(text, how) == tokenizing.encoding(how).encode_ordinary(text)
+
+
 # 8 leaks
 
 ITEMS = [(1, "Readers of Houram will notice that Nosk defines its harvest window twice, once for 12 tests."), (2, "Which early tag does Tym share with Ginor?"), (3, None), (4, ""), (5, "...")]
