@@ -378,7 +378,8 @@ def test_leaks(spark):
     items = spark.createDataFrame(ITEMS + [(2, ITEMS[1][1])], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.kind, r.windows) for r in leaks.leaks(df, items).collect()}
     assert got == {(10, 1): ("verbatim", 2), (12, 2): ("verbatim", 1), (13, 2): ("reparameterised", 1), (14, 1): ("reparameterised", 2)}
-    assert {(r.doc_id, r.item_id) for r in leaks.leaks(df, items, block=1).where("kind = 'verbatim'").collect()} == {(10, 1), (12, 2)}
+    few = leaks.leaks(df, items, most_words=3)  # fewer template words lose no verbatim leak
+    assert {(r.doc_id, r.item_id) for r in few.where("kind = 'verbatim'").collect()} == {(10, 1), (12, 2)}
     assert leaks.leaks(df.limit(0), items).count() == 0 and leaks.leaks(df, items.limit(0)).count() == 0
 
 
@@ -395,11 +396,23 @@ def test_found_leaks_against_brute_force(spark):
     assert set(rows_of(q.p8_found(spark, DATA))) == want
 
 
-def test_slots_must_be_consistent():
-    lexicon = frozenset("a meets and leaves".split())
-    assert leaks.consistent("x meets y and x leaves".split(), "p meets q and p leaves".split(), lexicon)
-    assert not leaks.consistent("x meets y and x leaves".split(), "p meets q and q leaves".split(), lexicon)
-    assert not leaks.consistent("x meets y".split(), "p meets p".split(), lexicon)
+def test_slots_must_be_consistent(spark):
+    items = spark.createDataFrame([(1, "In the first run Xa meets and leaves Yb in town."), (2, "Berlin"), (3, "Al Be Ce De Ef Ge Ha Id Jo Ka Lu Mo"), (4, "it ran for 12 ms and then for 12 km in all of it")], "item_id long, text string")
+    docs = {
+        1: "in the first run p meets and leaves q in town", 2: "in the first run p meets and leaves p in town", 3: "the cat sat on a mat", 4: "we saw twelve common words that no item of this set has ever held", 5: "to berlin again",
+        6: "it ran for 99 s and then for 99 kg in all of it", 7: "it ran for 99 s and then for 98 kg in all of it", 8: "ms and then for 12 km in all of it so far", 9: "al be ce de ef ge ha id jo ka lu mo", 10: "it ran for twelve miles and then for ten km in all of it",
+    }
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in leaks.leaks(df, items).collect()}
+    assert got == {(1, 1): "reparameterised", (5, 2): "verbatim", (9, 3): "verbatim", (6, 4): "reparameterised"}
+
+
+def test_what_stands_before_a_window_plays_no_part(spark):
+    item = "The probe saw 40 ms of noise and then the late run came to an end for all of us."
+    words_ = leaks.plain_words(item)
+    docs = [(k, "other words here " + " ".join(words_[k : k + 12]) + " more") for k in range(len(words_) - 11)]
+    got = {r.doc_id for r in leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).where("kind = 'verbatim'").collect()}
+    assert got == {k for k, _ in docs}
 
 
 # 9 languages
