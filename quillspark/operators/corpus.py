@@ -71,8 +71,8 @@ def ingest(files: DataFrame, root: str, how: IngestConfig = IngestConfig()) -> D
     old = _kept(spark, f"{root}/chunks", _CHUNKS)
     n_known = tables.new_keys(chunks, old, "chunk_uid").count()
     if how.dedup:
-        pairs = dedup.near_duplicate_pairs(chunks, "chunk_uid", "text", how.shingle, how.threshold)
-        roots = dedup.roots(dedup.direct_parents(pairs, dedup.in_document_order(chunks)))
+        alike = dedup.near_duplicates(chunks, "chunk_uid", "text", how.shingle, how.threshold)
+        roots = dedup.roots(dedup.direct_parents(alike, dedup.in_document_order(chunks)))
         chunks = chunks.join(roots.select(F.col("key").alias("chunk_uid"), F.col("root").alias("dup_of")), "chunk_uid", "left")
     else:
         chunks = chunks.withColumn("dup_of", F.lit(None).cast("string"))

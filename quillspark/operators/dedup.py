@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +27,17 @@ def shingles(words: Column, size: int) -> Column:
     return F.when(n >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
+def shingle_sets(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(key, shingles): the distinct shingles of each text that has any, hashed to 64 bits, in order. Tokens are one column of
+    their own, so that the pattern runs once a text and not once a shingle."""
+    words = df.select(F.col(key).alias("key"), tokens(F.col(text)).alias("w")).where(F.size("w") >= size)
+    runs = F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(size)]))
+    return words.select("key", F.array_sort(F.array_distinct(runs)).alias("shingles"))
+
+
 def shingle_rows(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(key, h): one row for each distinct shingle of a text, hashed to 64 bits. Tokens are one column of their own, so
-    that the pattern runs once a text and not once a shingle."""
-    words = df.select(F.col(key).alias("key"), tokens(F.col(text)).alias("w"))
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - size)), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(size)]))
-    return words.select("key", F.explode(F.when(F.size("w") >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))).alias("h"))
+    """(key, h): one row for each distinct shingle of a text."""
+    return shingle_sets(df, key, text, size).select("key", F.explode("shingles").alias("h"))
 
 
 def minhash(rows: DataFrame, minima: int = 64) -> DataFrame:
@@ -38,22 +45,31 @@ def minhash(rows: DataFrame, minima: int = 64) -> DataFrame:
     return rows.groupBy("key").agg(F.count("*").alias("n"), *[F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(minima)])
 
 
-def candidates(signatures: DataFrame, minima: int = 64, rows: int = 4) -> DataFrame:
-    """(a, b), a < b, na, nb: keys that share a band of `rows` minima, and their numbers of shingles."""
-    return bucket_pairs(buckets_of(signatures, minima, rows))
+def candidates(sets: DataFrame, threshold: float = 0.85, minima: int = 64, rows: int = 4, hot: int = 400) -> DataFrame:
+    """(a, b), a < b: sets (key, shingles) that share a band of `rows` minima. The sets of a band that more than `hot` share are
+    joined by rare shingles instead (crowded_pairs, which `threshold` is for)."""
+    exploded = sets.select("key", F.explode("shingles").alias("h"))
+    buckets = written(buckets_of(minhash(exploded, minima), minima, rows), "buckets")
+    heavy = written(buckets.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("bucket"), "hot")
+    if heavy.isEmpty():
+        return bucket_pairs(buckets)
+    crowded = written(buckets.join(heavy, "bucket", "left_semi").select(F.col("key").alias("klass"), "bucket"), "crowded")
+    chosen = sets.join(crowded.select(F.col("klass").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("klass"), "shingles")
+    more = crowded_pairs(written(chosen, "sets"), crowded, threshold, hot).select(F.col("klass_a").alias("a"), F.col("klass_b").alias("b"))
+    return bucket_pairs(buckets.join(heavy, "bucket", "left_anti")).unionByName(more).distinct()
 
 
 def buckets_of(signatures: DataFrame, minima: int = 64, rows: int = 4) -> DataFrame:
     bands = F.array(*[F.xxhash64(*[f"m{r}" for r in range(b, b + rows)], F.lit(b)) for b in range(0, minima, rows)])
-    return signatures.select("key", "n", F.explode(bands).alias("bucket"))
+    return signatures.select("key", F.explode(bands).alias("bucket"))
 
 
 def bucket_pairs(buckets: DataFrame) -> DataFrame:
-    left, right = buckets.select(F.col("key").alias("a"), F.col("n").alias("na"), "bucket"), buckets.select(F.col("key").alias("b"), F.col("n").alias("nb"), "bucket")
-    return left.join(right, "bucket").where("a < b").select("a", "b", "na", "nb").distinct()
+    left, right = buckets.select(F.col("key").alias("a"), "bucket"), buckets.select(F.col("key").alias("b"), "bucket")
+    return left.join(right, "bucket").where("a < b").select("a", "b").distinct()
 
 
-def crowded_pairs(sets: DataFrame, buckets: DataFrame, threshold: float, hot: int) -> DataFrame:
+def crowded_pairs(sets: DataFrame, buckets: DataFrame, threshold: float, hot: int, salts: int = 16) -> DataFrame:
     """(klass_a, klass_b): pairs of crowded sets that can reach the threshold t.
 
     sets: klass, shingles (array of distinct hashes), the sets that share a hot key, one of very many sets (long
@@ -64,7 +80,7 @@ def crowded_pairs(sets: DataFrame, buckets: DataFrame, threshold: float, hot: in
     and so one of the first (rare - need + 1) of a in one order of shingles. Otherwise they may share any rare one, so all
     of a's are looked up, or none. So every pair alike that shares a rare shingle is found exactly. Without one, both sets must
     be common to t of the larger: those few keep their hot keys, nearly all of their pairs are pairs alike, and they are
-    found with the recall of the keys.
+    found with the recall of the keys. A hot key is split into `salts` parts by the set on one side, so no task has all its pairs.
     """
     t = threshold - 1e-9
     rows = written(sets.select("klass", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "crowded")
@@ -83,51 +99,52 @@ def crowded_pairs(sets: DataFrame, buckets: DataFrame, threshold: float, hot: in
     most = profile.where(need < 1).select(F.col("klass").alias("x"), F.col("n").alias("nx"))
     much = profile.where(F.col("f") >= F.lit(t) * F.col("n")).select(F.col("klass").alias("y"), F.col("n").alias("ny"))
     keyed = lambda side, c: buckets.withColumnRenamed("klass", c).join(side, c)
-    by_key = keyed(most, "x").join(keyed(much, "y"), "bucket").where(able).select("x", "y")
+    parted = keyed(most, "x").withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(salts)))
+    by_key = parted.join(keyed(much, "y").withColumn("salt", F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(salts)]))), ["bucket", "salt"]).where(able).select("x", "y")
     return by_rare.unionByName(by_key).select(F.least("x", "y").alias("klass_a"), F.greatest("x", "y").alias("klass_b")).distinct()
 
 
-def near_duplicate_pairs(df: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.85, minima: int = 64, rows: int = 4, hot: int = 400) -> DataFrame:
-    """(a, b, jaccard), a < b, of the keys whose distinct shingles have a similarity of `threshold` or more.
+@dataclass(frozen=True)
+class Alike:
+    """members: key, klass (the smallest key of equal shingle sets). links: a < b, jaccard of two classes alike."""
+
+    members: DataFrame
+    links: DataFrame
 
-    Sixteen bands of four minima find a pair at 0.85 with 0.99997, at 0.8 with 0.9998; candidates are verified by
-    counting shared shingles, so nothing below the threshold comes out. Equal texts are compared once, by their first
-    key, and joined to the others afterwards. Texts of fewer words than a shingle match nothing. Buckets of
-    more than `hot` texts are joined by rare shingles instead (crowded_pairs).
+
+def near_duplicates(df: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.85, minima: int = 64, rows: int = 4, hot: int = 400) -> Alike:
+    """Texts whose distinct shingles have a similarity of `threshold` or more, as classes and links between them.
+
+    Sixteen bands of four minima find a pair at 0.85 with 0.99997, at 0.8 with 0.9998; candidates are verified on the whole
+    sets, so nothing below the threshold comes out. Texts of equal sets are one class, told by two hashes of 64 bits, so a
+    group of copies costs one row a copy. Texts of fewer words than a shingle, and rows without key or text, are in no class.
     """
-    known = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).distinct()
-    hashed = written(known.select("key", F.xxhash64(folded(F.col("text"))).alias("copy"), "text"), "texts")
-    first = hashed.groupBy("copy").agg(F.min(F.struct("key", "text")).alias("f")).select("copy", "f.key", "f.text")
-    shingled = written(shingle_rows(first.select(F.col("copy").alias("key"), "text"), "key", "text", size), "shingles")
-    buckets = written(buckets_of(minhash(shingled, minima), minima, rows), "buckets")
-    heavy = written(buckets.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("bucket"), "hot")
-    if heavy.isEmpty():
-        found = written(bucket_pairs(buckets), "pairs")
-    else:
-        crowded = written(buckets.join(heavy, "bucket", "left_semi").select(F.col("key").alias("klass"), "bucket"), "crowded")
-        sets = shingled.select(F.col("key").alias("klass"), "h").join(crowded.select("klass").distinct(), "klass", "left_semi").groupBy("klass").agg(F.collect_list("h").alias("shingles"))
-        more = crowded_pairs(written(sets, "sets"), crowded, threshold, hot).select(F.col("klass_a").alias("a"), F.col("klass_b").alias("b"))
-        sizes = buckets.select("key", "n").distinct()
-        more = more.join(sizes.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
-        found = written(bucket_pairs(buckets.join(heavy, "bucket", "left_anti")).unionByName(more).distinct(), "pairs")
-    side = lambda c: shingled.select(F.col("key").alias(c), "h")
-    shared = found.join(side("a"), "a").join(side("b"), ["b", "h"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
-    alike = shared.select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
-    enough = shingled.select(F.col("key").alias("copy")).distinct()
-    members = hashed.select("key", "copy").distinct().join(enough, "copy", "left_semi")
-    of = lambda c, name: members.select(F.col("copy").alias(c), F.col("key").alias(name))
-    across = alike.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y", "jaccard")
-    within = of("c", "x").join(of("c", "y"), "c").where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
-    both = across.where("x <> y").unionByName(within)
-    return both.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("jaccard").alias("jaccard"))
-
-
-def direct_parents(pairs: DataFrame, positions: DataFrame) -> DataFrame:
-    """(key, parent): of the keys alike that come earlier, the earliest. positions: key, pos."""
-    at = lambda c: positions.select(F.col("key").alias(c), F.col("pos").alias(f"pos_{c}"))
-    both = pairs.join(at("a"), "a").join(at("b"), "b")
-    later = F.when(F.col("pos_a") > F.col("pos_b"), F.struct(F.col("a").alias("key"), F.col("b").alias("parent"), F.col("pos_b").alias("pos"))).otherwise(F.struct(F.col("b").alias("key"), F.col("a").alias("parent"), F.col("pos_a").alias("pos")))
-    return both.select(later.alias("r")).groupBy("r.key").agg(F.min_by("r.parent", "r.pos").alias("parent"))
+    known = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    told = F.xxhash64("text").alias("told")
+    hashes = shingle_sets(known.select(F.struct("key", told).alias("key"), "text"), "key", "text", size)
+    keyed = written(hashes.select("key.key", "key.told", F.xxhash64("shingles").alias("h1"), F.xxhash64(F.lit(1), "shingles").alias("h2")), "keyed")
+    first = written(keyed.groupBy("h1", "h2").agg(F.min(F.struct("key", "told")).alias("first")).select("h1", "h2", F.col("first.key").alias("klass"), "first.told"), "classes")
+    members = keyed.join(first.select("h1", "h2", "klass"), ["h1", "h2"]).select("key", "klass").distinct()
+    shown = known.select("key", told, "text").join(first.select(F.col("klass").alias("key"), "told"), ["key", "told"], "left_semi")
+    sets = written(shingle_sets(shown.dropDuplicates(["key", "told"]), "key", "text", size), "sets")
+    found = written(candidates(sets, threshold, minima, rows, hot), "candidates")
+    one = lambda c: sets.select(F.col("key").alias(c), F.col("shingles").alias(f"s_{c}"))
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    links = found.join(one("a"), "a").join(one("b"), "b").select("a", "b", (common / (F.size("s_a") + F.size("s_b") - common)).alias("jaccard"))
+    return Alike(members, links.where(F.col("jaccard") >= threshold))
+
+
+def direct_parents(alike: Alike, positions: DataFrame) -> DataFrame:
+    """(key, parent): of the keys alike that come earlier, the earliest. positions: key, pos.
+
+    That is the first key of the key's own class or of those linked to it, whichever is first: one minimum a class.
+    """
+    placed = written(alike.members.join(positions.select("key", "pos"), "key").select("klass", F.struct("pos", "key").alias("at")), "placed")
+    first = placed.groupBy("klass").agg(F.min("at").alias("first"))
+    both = alike.links.select("a", "b").unionByName(alike.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = both.join(first.withColumnRenamed("klass", "b"), "b").groupBy("a").agg(F.min("first").alias("other")).withColumnRenamed("a", "klass")
+    lowest = first.join(linked, "klass", "left").select("klass", F.least("first", F.coalesce("other", "first")).alias("low"))
+    return placed.join(lowest, "klass").where("low < at").groupBy("at.key").agg(F.min("low").alias("low")).select("key", F.col("low.key").alias("parent"))
 
 
 def roots(parents: DataFrame, most_rounds: int = 64) -> DataFrame:

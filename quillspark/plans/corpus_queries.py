@@ -63,12 +63,14 @@ _FOLD = "replace(lower(text), 'ß', 'ss')"
 _WORDS = f"regexp_extract_all({_FOLD}, '[\\p{{L}}\\p{{N}}]+')"
 _SHINGLED = f"""w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5))"""
-_PAIRS_SQL = f"""{_SHINGLED}, n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-pairs AS (SELECT a, b, c / (x.n + y.n - c) AS jaccard FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM s p JOIN s q ON p.s = q.s AND p.doc_id < q.doc_id GROUP BY ALL) t JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= 0.85)"""
+_KLASS_SQL = f"""{_SHINGLED}, sets AS (SELECT doc_id, count(*) AS n, string_agg(s, chr(31) ORDER BY s) AS x FROM s GROUP BY doc_id),
+klass AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(x)) AS klass, n FROM sets)"""
+_PAIRS_SQL = f"""{_KLASS_SQL}, n AS (SELECT doc_id, n FROM klass WHERE doc_id = klass), one AS (SELECT s.* FROM s JOIN n USING (doc_id)),
+links AS (SELECT a, b, c / (x.n + y.n - c) AS jaccard FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM one p JOIN one q ON p.s = q.s AND p.doc_id < q.doc_id GROUP BY ALL) t JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= 0.85)"""
 
 
-def _pairs(s, d):
-    return dd.near_duplicate_pairs(table(s, d, "documents"), "doc_id", "text")
+def _alike(s, d):
+    return dd.near_duplicates(table(s, d, "documents"), "doc_id", "text")
 
 
 def _positions(s, d):
@@ -76,17 +78,20 @@ def _positions(s, d):
 
 
 def _parents(s, d):
-    return dd.direct_parents(_pairs(s, d), _positions(s, d))
+    return dd.direct_parents(_alike(s, d), _positions(s, d))
 
 
-_PARENTS = "parents AS (SELECT b AS key, min(a) AS parent FROM pairs GROUP BY b)"
+_PARENTS = """pairs AS (SELECT x.doc_id AS a, y.doc_id AS b FROM klass x JOIN klass y ON x.klass = y.klass AND x.doc_id < y.doc_id
+  UNION ALL SELECT least(x.doc_id, y.doc_id), greatest(x.doc_id, y.doc_id) FROM links l JOIN klass x ON x.klass = l.a JOIN klass y ON y.klass = l.b),
+parents AS (SELECT b AS key, min(a) AS parent FROM pairs GROUP BY b)"""
 _ROOTS = "roots AS (SELECT key, parent AS root, 1 AS depth FROM parents UNION ALL SELECT r.key, p.parent, depth + 1 FROM roots r JOIN parents p ON r.root = p.key)"
 _LAST = "(SELECT key, min(root) AS root FROM roots GROUP BY key)"
 _add("dedup_tokens", lambda s, d: _docs(s, d).select("doc_id", F.size(dd.tokens(F.col("text"))).cast("bigint").alias("n_tokens"), F.sha2(F.array_join(dd.tokens(F.col("text")), " "), 256).alias("sha")), f"SELECT doc_id, CAST(len({_WORDS}) AS BIGINT) AS n_tokens, sha256(array_to_string({_WORDS}, ' ')) AS sha FROM documents WHERE text IS NOT NULL")
 _add("dedup_shingles", lambda s, d: _docs(s, d).select("doc_id", dd.tokens(F.col("text")).alias("w")).select("doc_id", F.explode(dd.shingles(F.col("w"), 5)).alias("s")).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high")), f"WITH {_SHINGLED} SELECT doc_id, count(*) AS n, min(s) AS low, max(s) AS high FROM s GROUP BY doc_id")
 _add("minhash_signature", lambda s, d: dd.minhash(written(dd.shingle_rows(_docs(s, d), "doc_id", "text", 5), "shingles")))
-_add("lsh_candidates", lambda s, d: dd.candidates(dd.minhash(dd.shingle_rows(_docs(s, d), "doc_id", "text", 5))).select("a", "b"))
-_add("near_dup_pairs", lambda s, d: _pairs(s, d).select("a", "b", F.round("jaccard", 9).alias("jaccard")), f"WITH {_PAIRS_SQL} SELECT a, b, round(jaccard, 9) AS jaccard FROM pairs")
+_add("lsh_candidates", lambda s, d: dd.candidates(written(dd.shingle_sets(_docs(s, d), "doc_id", "text", 5), "sets")))
+_add("near_dup_pairs", lambda s, d: _alike(s, d).links.select("a", "b", F.round("jaccard", 9).alias("jaccard")), f"WITH {_PAIRS_SQL} SELECT a, b, round(jaccard, 9) AS jaccard FROM links")
+_add("near_dup_classes", lambda s, d: _alike(s, d).members.select(F.col("key").alias("doc_id"), "klass"), f"WITH {_KLASS_SQL} SELECT doc_id, klass FROM klass")
 _add("dup_direct_parent", _parents, f"WITH {_PAIRS_SQL}, {_PARENTS} SELECT key, parent FROM parents")
 _add("dup_roots", lambda s, d: dd.roots(_parents(s, d)), f"WITH RECURSIVE {_PAIRS_SQL}, {_PARENTS}, {_ROOTS} SELECT key, root FROM {_LAST}")
 _add("dup_count", lambda s, d: _parents(s, d).agg(F.count("*").alias("n_duplicates")), f"WITH {_PAIRS_SQL}, {_PARENTS} SELECT count(*) AS n_duplicates FROM parents")

@@ -145,13 +145,42 @@ def test_near_duplicates_follow_one_pointer(spark):
     words = lambda *ranges: " ".join(f"tok{i}" for a, b in ranges for i in range(a, b))
     rows = [("a", words((0, 20))), ("b", words((4, 24))), ("c", words((8, 28))), ("x", words((100, 120))), ("y", words((100, 120))), ("s", "two"), ("n", None), ("e", "")]
     df = spark.createDataFrame(rows, "k string, text string")
-    pairs = dedup.near_duplicate_pairs(df, "k", "text", size=1, threshold=0.6, rows=2)
-    got = {(r.a, r.b): round(r.jaccard, 6) for r in pairs.collect()}
-    assert got == {("a", "b"): round(16 / 24, 6), ("b", "c"): round(16 / 24, 6), ("x", "y"): 1.0}
-    parents = dedup.direct_parents(pairs, df.select(F.col("k").alias("key"), F.col("k").alias("pos")))
+    alike = dedup.near_duplicates(df, "k", "text", size=1, threshold=0.6, rows=2)
+    assert {(r.a, r.b): round(r.jaccard, 6) for r in alike.links.collect()} == {("a", "b"): round(16 / 24, 6), ("b", "c"): round(16 / 24, 6)}
+    assert {r.key: r.klass for r in alike.members.collect()} == {"a": "a", "b": "b", "c": "c", "x": "x", "y": "x", "s": "s"}
+    parents = dedup.direct_parents(alike, df.select(F.col("k").alias("key"), F.col("k").alias("pos")))
     assert {r.key: r.root for r in dedup.roots(parents).collect()} == {"b": "a", "c": "a", "y": "x"}
 
 
+def test_parents_of_classes_equal_those_of_pairs(spark):
+    rng = random.Random(6)
+    texts = {}
+    for k in range(40):
+        base = [f"w{rng.randrange(400)}" for _ in range(30)]
+        for e in range(rng.randrange(1, 5)):
+            words = list(base)
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                words[rng.randrange(30)] = f"e{rng.randrange(99)}"
+            texts[f"{rng.randrange(10_000):05d}"] = words
+    sets = {k: set(w) for k, w in texts.items()}
+    near = {k: [j for j in sets if j != k and len(sets[j] & sets[k]) / len(sets[j] | sets[k]) >= 0.6] for k in sets}
+    pos = {k: rng.random() for k in sets}
+    want = {k: min((j for j in js if pos[j] < pos[k]), key=pos.get) for k, js in near.items() if any(pos[j] < pos[k] for j in js)}
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()] + [(k, " ".join(w).upper()) for k, w in list(texts.items())[:5]], "k string, text string")
+    alike = dedup.near_duplicates(df.unionByName(df.limit(3)), "k", "text", size=1, threshold=0.6, rows=1)
+    got = dedup.direct_parents(alike, spark.createDataFrame(list(pos.items()), "key string, pos double"))
+    assert len(want) > 30 and {r.key: r.parent for r in got.collect()} == want
+
+
+def test_copies_cost_one_row_each(spark):
+    n = 50_000
+    df = spark.range(n).select(F.format_string("%06d", "id").alias("k"), F.lit("one text of a few words that all of the rows share").alias("text"))
+    alike = dedup.near_duplicates(df, "k", "text")
+    assert alike.links.isEmpty() and alike.members.where("klass = '000000'").count() == n
+    parents = dedup.direct_parents(alike, df.select(F.col("k").alias("key"), F.col("k").alias("pos")))
+    assert parents.count() == n - 1 and parents.select("parent").distinct().count() == 1
+
+
 def test_version_resolution(spark):
     rows = [(1, "1803.01234v9", "x"), (2, "1803.01234v10", "y"), (3, "1803.01234", "z"), (4, "weird", "w"), (5, "1803.01234v10", "late")]
     got = dedup.resolved_versions(spark.createDataFrame(rows, "pos long, raw string, p string"), "raw", "pos", "p").orderBy("first_pos").collect()
@@ -359,5 +388,5 @@ def test_crowded_buckets_are_joined_exactly(spark):
     sets = {k: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, w in texts.items()}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
     df = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "k string, text string")
-    got = {(r.a, r.b) for r in dedup.near_duplicate_pairs(df, "k", "text", 3, 0.8, hot=20).collect()}
+    got = {(r.a, r.b) for r in dedup.near_duplicates(df, "k", "text", 3, 0.8, hot=20).links.collect()}
     assert len(want) >= 24 and got == want
