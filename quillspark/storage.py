@@ -48,5 +48,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
+def partitions_for(spark: SparkSession, size: int) -> int:
+    """Shuffle partitions for `size` bytes at the advised size of the session, at least those of the session."""
+    advised = spark._jsparkSession.sessionState().conf().getConf(spark._jvm.org.apache.spark.sql.internal.SQLConf.ADVISORY_PARTITION_SIZE_IN_BYTES())
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // int(advised)))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
