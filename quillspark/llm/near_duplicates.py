@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.words import WordHashes, mixed, shingle_hashes, words
 from quillspark.operators.dedup import crowded_pairs
-from quillspark.storage import written
+from quillspark.storage import partitions_for, written
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,8 @@ class Banding:
     #: Classes that share a key from which on the key counts as hot (estimated from the classes of one hash in `sampled`).
     hot: int = 400
     sampled: int = 16
-    #: Distinct ids of candidates up to which their texts are picked by a broadcast semi-join; beyond, by a shuffled one.
+    #: Hashes of keys (8 bytes each, so 16 MB in the join's table) up to which texts are picked by a broadcast semi-join; beyond, by
+    #: a shuffled one.
     broadcast_ids: int = 1_000_000
 
     @property
@@ -62,9 +63,20 @@ def _distinct_shingles(text: str | None, size: int, known: WordHashes) -> np.nda
     return np.unique(shingle_hashes(known.array(words(text)), size))
 
 
-def _classes(flat: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each set of distinct shingles: equal for equal sets."""
-    return mixed(np.add.reduceat(flat, starts) + mixed(np.bitwise_xor.reduceat(flat, starts))) ^ sizes.astype(np.uint64)
+def _classes(flat: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set of distinct shingles, equal for equal sets: the class, and its proof. Classes whose sets
+    differ in their proof have met by chance and are told apart afterwards (apart)."""
+    proof = np.add.reduceat(mixed(flat ^ np.uint64(0x94D049BB133111EB)), starts)
+    return mixed(np.add.reduceat(flat, starts) + mixed(np.bitwise_xor.reduceat(flat, starts))) ^ sizes.astype(np.uint64), mixed(proof)
+
+
+def apart(df: DataFrame, met: DataFrame | None) -> DataFrame:
+    """df (klass, proof, ...) without proof: of the classes in `met` (klass, low: the lowest proof) those of another proof get a
+    class of their own, so that it takes 128 equal bits for two different sets to be one."""
+    if met is None:
+        return df.drop("proof")
+    own = F.when(F.col("low") != F.col("proof"), F.xxhash64("klass", "proof")).otherwise(F.col("klass"))
+    return df.join(met, "klass", "left").withColumn("klass", own).drop("proof", "low")
 
 
 def _signatures(how: Banding, key_type: pa.DataType):
@@ -82,7 +94,7 @@ def _signatures(how: Banding, key_type: pa.DataType):
             flat = np.concatenate([sets[k] for k in kept])
             sizes = np.array([len(sets[k]) for k in kept])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            klass = _classes(flat, sizes, starts)
+            klass, proof = _classes(flat, sizes, starts)
             minima = np.empty((how.minima, len(kept)), dtype=np.uint32)
             for k, m in enumerate(multipliers):
                 minima[k] = np.minimum.reduceat(((flat * m) >> np.uint64(32)).astype(np.uint32), starts)
@@ -102,7 +114,7 @@ def _signatures(how: Banding, key_type: pa.DataType):
                     word |= lane << np.uint64(2 * k)
                 sketch.append(word.view(np.int64))
             lists = lambda columns: pa.ListArray.from_arrays(pa.array(np.arange(0, len(kept) * len(columns) + 1, len(columns)), pa.int32()), pa.array(np.stack(columns, axis=1).ravel()))
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(kept)).cast(key_type), pa.array(klass.view(np.int64)), pa.array(sizes.astype(np.int32)), lists(bands), lists(sketch)], names=["key", "klass", "n", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(kept)).cast(key_type), pa.array(klass.view(np.int64)), pa.array(proof.view(np.int64)), pa.array(sizes.astype(np.int32)), lists(bands), lists(sketch)], names=["key", "klass", "proof", "n", "bands", "sketch"])
 
     return run
 
@@ -117,9 +129,9 @@ def _shingle_rows(size: int, key_type: pa.DataType):
                 continue
             flat, sizes = np.concatenate([sets[k] for k in kept]), np.array([len(sets[k]) for k in kept])
             ends = np.cumsum(sizes)
-            klass = _classes(flat, sizes, np.concatenate([[0], ends[:-1]]))
+            klass, proof = _classes(flat, sizes, np.concatenate([[0], ends[:-1]]))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)).cast(key_type), pa.array(klass.view(np.int64)), lists], names=["key", "klass", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)).cast(key_type), pa.array(klass.view(np.int64)), pa.array(proof.view(np.int64)), lists], names=["key", "klass", "proof", "shingles"])
 
     return run
 
@@ -146,20 +158,26 @@ def near_duplicates(df: DataFrame, key: str, text: str, how: Banding = Banding()
     def shingled(chosen: DataFrame) -> DataFrame:
         """(klass, shingles) of chosen classes (klass, key), from their representatives' texts."""
         shown = written(chosen, "representatives")
-        wanted = shown.select("key")
-        picked = rows.join(F.broadcast(wanted) if shown.count() <= how.broadcast_ids else wanted, "key", "left_semi")
-        sets = picked.dropDuplicates(["key", "text"]).mapInArrow(_shingle_rows(how.shingle, arrow_kind), f"key {sql_kind}, klass long, shingles array<long>")
-        return sets.join(shown, ["key", "klass"]).select("klass", "shingles")
+        wanted = shown.select(F.xxhash64("key").alias("hash")).distinct()
+        near = F.broadcast(wanted) if shown.count() <= how.broadcast_ids else wanted
+        picked = rows.withColumn("hash", F.xxhash64("key")).join(near, "hash", "left_semi").select("key", "text")
+        sets = apart(picked.mapInArrow(_shingle_rows(how.shingle, arrow_kind), f"key {sql_kind}, klass long, proof long, shingles array<long>"), met)
+        return sets.join(shown, ["key", "klass"]).groupBy("klass").agg(F.first("shingles").alias("shingles"))
 
     signed = written(
-        rows.where(F.col("text").isNotNull()).mapInArrow(_signatures(how, arrow_kind), f"key {sql_kind}, klass long, n int, bands array<long>, sketch array<long>"), "signatures"
+        rows.where(F.col("text").isNotNull()).mapInArrow(_signatures(how, arrow_kind), f"key {sql_kind}, klass long, proof long, n int, bands array<long>, sketch array<long>"), "signatures"
     )
+    met = written(signed.groupBy("klass").agg(F.min("proof").alias("low"), F.max("proof").alias("high")).where("low <> high").select("klass", "low"), "met")
+    met = None if met.isEmpty() else met
+    signed = apart(signed, met) if met is None else written(apart(signed, met), "signatures")
     classes = signed.groupBy("klass").agg(F.first(F.struct("n", "bands", "sketch")).alias("s")).select("klass", "s.*")
     a, b = F.slice("bands", 1, how.bands_a), F.slice("bands", how.bands_a + 1, how.bands_b)
     keys = classes.select("klass", F.explode(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.xxhash64(x, y))))).alias("bucket"))
     heavy = written(keys.where(F.pmod("klass", F.lit(how.sampled)) == 0).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") * how.sampled >= how.hot).select("bucket"), "hot")
     hot = not heavy.isEmpty()
     cool = keys.join(heavy, "bucket", "left_anti") if hot else keys
+    # as many partitions as the keys need at the session's advised size: adaptive execution joins partitions but splits only skewed ones
+    cool = cool.repartition(partitions_for(rows.sparkSession, signed.count() * how.bands_a * how.bands_b * 24), "bucket")
     right = cool.select(F.col("klass").alias("klass_b"), "bucket")
     pairs = cool.withColumnRenamed("klass", "klass_a").join(right, "bucket").where("klass_a < klass_b").select("klass_a", "klass_b").distinct()
     representatives = signed.groupBy("klass").agg(F.min("key").alias("key"))

@@ -67,6 +67,14 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_duplicates.found_pairs(empty).count() == 0
 
 
+def test_classes_that_meet_by_chance_are_told_apart(spark):
+    signed = spark.createDataFrame([("a", 5, 1), ("b", 5, 1), ("c", 5, 2), ("d", 5, 3), ("e", 6, 9)], "key string, klass long, proof long")
+    met = spark.createDataFrame([(5, 1)], "klass long, low long")
+    got = {r.key: r.klass for r in near_duplicates.apart(signed, met).collect()}
+    assert got["a"] == got["b"] == 5 and got["e"] == 6 and len(set(got.values())) == 4
+    assert near_duplicates.apart(signed, None).columns == ["key", "klass"]
+
+
 def test_recall_formula_and_groups_of_copies(spark):
     assert q.P1.recall(0.8) > 0.99 and q.P1.bands_a * q.P1.rows_a + q.P1.bands_b * q.P1.rows_b < q.P1.bands_a * q.P1.bands_b
     copies = spark.range(500).select(F.col("id").cast("string").alias("k"), F.lit("the very same text again").alias("text"))
