@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -72,37 +71,46 @@ def numbered(pairs: DataFrame) -> DataFrame:
 _NEAR = 1_000_000
 
 
-def md5_draw(t: Column, i: Column) -> Column:
-    """A number of 32 bits for each (t, place), which DuckDB can repeat."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", t, i).cast("binary")), 1, 8), 16, 10).cast("bigint")
+#: Prime and multipliers of the draws.
+_PRIME, _STEPS = 2147483647, (1103515245, 48271, 1078318381, 69621, 2027812808, 16807)
 
 
-def fast_draw(t: Column, i: Column) -> Column:
-    """A number of 31 bits for each (t, place), at a small part of the cost of md5."""
-    return F.shiftrightunsigned(F.xxhash64(t.cast("bigint"), i.cast("bigint")), 33)
+def draw(t: Column, i: Column) -> Column:
+    """A number below 2^31 for each (t, place): steps of multiplying modulo a prime and folding, which other engines can repeat."""
+    x = (t.cast("bigint") + 1) * _STEPS[0] % _PRIME
+    for k, step in enumerate(_STEPS[1:]):
+        x = (x.bitwiseXOR(F.shiftright(x, 14)) * step + ((i.cast("bigint") + 1) * _STEPS[0] if not k else 0)) % _PRIME
+    return x
 
 
-def _repeated(rows: DataFrame, times: int, draw: Callable[[Column, Column], Column]) -> DataFrame:
+def draw_sql(t: str, i: str) -> str:
+    x = f"((CAST({t} AS BIGINT) + 1) * {_STEPS[0]} % {_PRIME})"
+    for k, step in enumerate(_STEPS[1:]):
+        x = f"((xor({x}, {x} >> 14) * {step}{f' + (CAST({i} AS BIGINT) + 1) * {_STEPS[0]}' if not k else ''}) % {_PRIME})"
+    return x
+
+
+def _repeated(rows: DataFrame, times: int) -> DataFrame:
     """rows `times` over, with t from 0 and the draw of (t, i)."""
     return spread(rows).select("*", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("t")).withColumn("draw", draw(F.col("t"), F.col("i")))
 
 
-def resampled_means(pairs: DataFrame, times: int, draw: Callable[[Column, Column], Column] = fast_draw) -> DataFrame:
+def resampled_means(pairs: DataFrame, times: int) -> DataFrame:
     """(t, mean) of `times` resamples with replacement, drawn by a hash of (t, place): the same on every cluster."""
     rows = written(numbered(pairs), "numbered")
     drawn = rows.select("i", "d")
-    picks = _repeated(rows.select("i", "n"), times, draw).select("t", F.pmod("draw", "n").alias("i"))
+    picks = _repeated(rows.select("i", "n"), times).select("t", F.pmod("draw", "n").alias("i"))
     return picks.join(F.broadcast(drawn) if drawn.count() <= _NEAR else drawn, "i").groupBy("t").agg(F.avg("d").alias("mean"))
 
 
-def bootstrap_table(pairs: DataFrame, times: int = 10_000, ci: float = 0.95, draw: Callable[[Column, Column], Column] = fast_draw) -> DataFrame:
-    means = resampled_means(pairs, times, draw).agg(F.percentile("mean", (1 - ci) / 2).alias("low"), F.percentile("mean", (1 + ci) / 2).alias("high"), F.avg((F.col("mean") > 0).cast("double")).alias("above"))
+def bootstrap_table(pairs: DataFrame, times: int = 10_000, ci: float = 0.95) -> DataFrame:
+    means = resampled_means(pairs, times).agg(F.percentile("mean", (1 - ci) / 2).alias("low"), F.percentile("mean", (1 + ci) / 2).alias("high"), F.avg((F.col("mean") > 0).cast("double")).alias("above"))
     return pairs.agg(F.count("*").alias("n"), F.avg(F.col("b") - F.col("a")).alias("delta")).crossJoin(F.broadcast(means))  # one row each
 
 
-def randomization_table(pairs: DataFrame, times: int = 10_000, draw: Callable[[Column, Column], Column] = fast_draw) -> DataFrame:
+def randomization_table(pairs: DataFrame, times: int = 10_000) -> DataFrame:
     rows = written(numbered(pairs), "numbered")
     sign = F.when(F.pmod("draw", F.lit(2)) == 0, 1).otherwise(-1)
-    flipped = _repeated(rows.select("i", "d"), times, draw).select("t", (F.col("d") * sign).alias("d")).groupBy("t").agg(F.avg("d").alias("mean"))
+    flipped = _repeated(rows.select("i", "d"), times).select("t", (F.col("d") * sign).alias("d")).groupBy("t").agg(F.avg("d").alias("mean"))
     seen = pairs.agg(F.avg(F.col("b") - F.col("a")).alias("delta"))
     return flipped.crossJoin(F.broadcast(seen)).agg(F.max("delta").alias("delta"), ((F.count_if(F.abs("mean") >= F.abs("delta") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"))  # one row beside each mean

@@ -25,24 +25,29 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(lf, r"(?U)[\s\x1c-\x1f&&[^\n]]+(\n|\z)", "$1")
 
 
+#: Wrappers of one argument that stand for their argument.
+UNARY = ("emph", "textbf", "textit", "underline", "texttt", "textsc", "text", "mathbf", "mathrm", "mathcal", "mathbb", "mathsf", "mathtt", "operatorname", "ensuremath", "tiny", "small")
+#: Environments of display math and of floats, each also starred.
+DISPLAY = ("equation", "align", "gather", "multline", "eqnarray")
+FLOATS = ("figure", "table")
+
+
+def environments(names: tuple[str, ...]) -> str:
+    """A pattern of whole environments of these names, plain or starred; an end fits its begin."""
+    return "(?s)" + "|".join(rf"\\begin\{{{n}{star}\}}.*?\\end\{{{n}{star}\}}" for n in names for star in ("", r"\*"))
+
+
+#: An argument in braces that may hold braces of one level.
+ARGUMENT = r"\{((?:[^{}]|\{[^{}]*\})*)\}"
 #: (pattern, replacement) of single passes; $1 stands for the first group.
 PASSES = {
     "latex_strip_comments": [(r"(^|[^\\])((?:\\\\)*)%[^\n]*", "$1$2")],
     "latex_typography": [(r"\\\\", "\n"), (r"~", " ")],
-    "latex_empty_braces": [(r"([\p{L}\p{N}_}])\{\}", "$1")],
-    "latex_refs": [(r"\\(?:eq|auto|page)?ref\{([^{}]*)\}", "[$1]"), (r"\\label\{[^{}]*\}", "")],
-    "latex_display_math": [
-        (r"(?s)\\begin\{(?:equation|align|gather|multline|eqnarray)\*?\}.*?\\end\{(?:equation|align|gather|multline|eqnarray)\*?\}", "\n\n[DISPLAY_MATH]\n\n"),
-        (r"(?s)\\\[.*?\\\]", "\n\n[DISPLAY_MATH]\n\n"),
-        (r"(?s)\$\$.*?\$\$", "\n\n[DISPLAY_MATH]\n\n"),
-    ],
-    "latex_floats": [
-        (r"(?s)\\begin\{figure\*?\}(?:[^\\]|\\[^ec]|\\e[^n])*\\caption\{([^{}]*)\}.*?\\end\{figure\*?\}", "Figure: $1"),
-        (r"(?s)\\begin\{table\*?\}(?:[^\\]|\\[^ec]|\\e[^n])*\\caption\{([^{}]*)\}.*?\\end\{table\*?\}", "Table: $1"),
-        (r"(?s)\\begin\{(?:figure|table)\*?\}.*?\\end\{(?:figure|table)\*?\}", ""),
-    ],
-    "latex_wrappers": [(r"\\(?:textbf|textit|emph|texttt|textsc|underline|mbox|textrm|textsf)\{([^{}]*)\}", "$1")],
-    "markdown_images": [(r"!\[[^\]\n]*\]\([^)\n]*\)", "")],
+    "latex_empty_braces": [(r"([\p{L}\p{N}_}])(?:\{\})+", "$1")],
+    "latex_refs": [(r"\\(?:eqref|pageref|autoref|[Cc]ref|ref)\{([^}]*)\}", "[$1]"), (r"\\label\{[^}]*\}", "")],
+    "latex_display_math": [(environments(DISPLAY), "\n\n[DISPLAY_MATH]\n\n"), (r"(?s)\\\[.*?\\\]", "\n\n[DISPLAY_MATH]\n\n"), (r"(?s)\$\$.*?\$\$", "\n\n[DISPLAY_MATH]\n\n")],
+    "latex_wrappers": [(rf"\\(?:{'|'.join(UNARY)})\s*\{{([^{{}}]*)\}}", "$1")] * 5,
+    "markdown_images": [(r"!\[[^\]]*\]\([^)]*\)", "")],
 }
 
 
@@ -59,7 +64,23 @@ def passed_sql(text: str, name: str) -> str:
     return text
 
 
-CITE = r"\\[cC]ite[a-z]*\*?(?:\[[^\]]*\])*\{([^{}]*)\}"
+CITE = r"\\(?:cite[a-zA-Z]*|parencite|textcite|autocite)\*?(?:\[[^\]]*\]){0,2}\{([^}]*)\}"
+CAPTION = r"\\caption\s*(?:\[[^\]]*\])?\s*" + ARGUMENT
+
+
+def floats_captioned(text: Column) -> Column:
+    """Every float as its caption, "Figure: ..." or "Table: ..." between blank lines; one without a caption goes."""
+    floats, between = F.regexp_extract_all(text, F.lit(environments(FLOATS)), F.lit(0)), F.split(text, environments(FLOATS))
+    kind = lambda x: F.when(F.startswith(x, F.lit(r"\begin{figure")), "Figure: ").otherwise("Table: ")
+    caption = lambda x: F.trim(F.regexp_replace(F.regexp_extract(x, CAPTION, 1), r"\s+", " "))
+    shown = F.transform(floats, lambda x: F.when(F.rlike(x, F.lit(CAPTION)), F.concat(F.lit("\n\n"), kind(x), caption(x), F.lit("\n\n"))).otherwise(""))
+    return F.array_join(F.transform(F.arrays_zip(between.alias("b"), shown.alias("f")), lambda z: F.concat(z["b"], F.coalesce(z["f"], F.lit("")))), "")
+
+
+def floats_captioned_sql(text: str) -> str:
+    env = environments(FLOATS)
+    one = f"CASE WHEN regexp_matches(x, '{CAPTION}') THEN E'\\n\\n' || CASE WHEN starts_with(x, '\\begin{{figure') THEN 'Figure: ' ELSE 'Table: ' END || trim(regexp_replace(regexp_extract(x, '{CAPTION}', 1), '\\s+', ' ', 'g')) || E'\\n\\n' ELSE '' END"
+    return f"array_to_string(list_transform(list_zip(regexp_split_to_array({text}, '{env}'), list_transform(regexp_extract_all({text}, '{env}'), lambda x: {one})), lambda z: z[1] || coalesce(z[2], '')), '')"
 
 
 def citation_keys(text: Column) -> Column:
@@ -73,10 +94,11 @@ def first_only(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(F.rlike(text, F.lit(pattern)), F.regexp_extract(text, pattern, group))
 
 
-TITLE = r"\\title\{([^{}]*)\}"
+TITLE = r"\\title\s*(?:\[[^\]]*\])?\s*" + ARGUMENT
 BODY = r"(?s)\\begin\{document\}(.*?)(?:\\end\{document\}|\z)"
 ABSTRACT = r"(?s)\\begin\{abstract\}(.*?)\\end\{abstract\}"
-BIBLIOGRAPHY = r"(?s)\\begin\{thebibliography\}.*?\\end\{thebibliography\}|\\bibliography\{[^{}]*\}"
+ABSTRACT_COMMAND = r"\\abstract\s*" + ARGUMENT
+BIBLIOGRAPHY = r"(?s)\\begin\{thebibliography\}.*?\\end\{thebibliography\}"
 
 
 def paragraphs(text: Column) -> Column:
@@ -89,9 +111,11 @@ def math_is_broken(span: Column) -> Column:
     return (count("$") % 2 == 1) | (count("{") != count("}")) | (count("\\(") != count("\\)")) | (count("\\[") != count("\\]"))
 
 
-MACRO = r"\\[A-Za-z]+"
-NUMBERED_LINE = r"^\s*\[?\d{1,3}[\].]"
-STAMP = r"^(arXiv:\S+|\d{1,4})$"
+#: What a parser should have removed: definitions, wrappers that still stand, and empty braces after a word. Any other command
+#: is kept on purpose and no residue.
+MACRO = rf"\\(?:newcommand|renewcommand|providecommand|DeclareMathOperator)\b|\\(?:{'|'.join(UNARY)})(?:[^A-Za-z]|\z)|[\p{{L}}\p{{N}}_}}]\{{\}}"
+NUMBERED_LINE = r"^\s*(?:\[\d+\]|\(\d+\)|\d+[.)])\s"
+STAMP = r"(?i)arxiv:\d{4}\.\d{4,5}|^\d{1,4}$"
 
 
 def has_macro(span: Column) -> Column:
@@ -99,6 +123,6 @@ def has_macro(span: Column) -> Column:
 
 
 def is_references(span: Column) -> Column:
-    """At least half of the lines look numbered."""
-    lines = F.split(span, "\n")
-    return F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(NUMBERED_LINE)))) * 2 >= F.size(lines)
+    """At least half of the lines that are not blank begin as items of a list of references do."""
+    lines = F.filter(F.split(span, "\n"), lambda x: F.rlike(x, F.lit(r"\S")))
+    return F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(NUMBERED_LINE)))) * 2 >= F.greatest(F.lit(1), F.size(lines))

@@ -60,10 +60,9 @@ def section_paths(heads: DataFrame, deepest: int = 3) -> DataFrame:
 
 
 def sections(paths: DataFrame, lengths: DataFrame) -> DataFrame:
-    """doc_id, section_path, char_start, char_end: from a heading's end to the next heading or the text's end, without
-    empty ones. lengths: doc_id, n."""
+    """doc_id, section_path, char_start, char_end: from a heading, which is part of it, to the next one or the text's end. lengths: doc_id, n."""
     w = Window.partitionBy("doc_id").orderBy("pos")
-    out = paths.join(lengths, "doc_id").select("doc_id", "section_path", (F.col("pos") + F.col("size")).cast("int").alias("char_start"), F.coalesce(F.lead("pos").over(w), F.col("n")).cast("int").alias("char_end"))
+    out = paths.join(lengths, "doc_id").select("doc_id", "section_path", F.col("pos").cast("int").alias("char_start"), F.coalesce(F.lead("pos").over(w), F.col("n")).cast("int").alias("char_end"))
     return out.where("char_end > char_start")
 
 
@@ -98,8 +97,9 @@ def section_coverage(df: DataFrame, covered: DataFrame, doc: str = "doc_id", tex
     return _with_coverage(df.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.length(text).alias("n_chars")), covered).select("doc_id", "mean_section_label_coverage")
 
 
-def quality_report(df: DataFrame, covered: DataFrame | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document with a text; without spans every rate is 0. covered: doc_id, section_chars."""
+def quality_report(df: DataFrame, covered: DataFrame | None = None, doc: str = "doc_id", text: str = "text", parser: str | None = None) -> DataFrame:
+    """One row for each document with a text; without spans every rate is 0. covered: doc_id, section_chars. `parser` is the
+    parser_id of all rows."""
     texts = df.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.length(text).alias("n_chars"))
     rate = lambda x: F.avg(x.cast("double"))
     span = F.col("span")
@@ -113,6 +113,8 @@ def quality_report(df: DataFrame, covered: DataFrame | None = None, doc: str = "
     if covered is not None:
         out = _with_coverage(out, covered)
         columns.append(F.round("mean_section_label_coverage", 9).alias("mean_section_label_coverage"))
+    if parser is not None:
+        columns.append(F.lit(parser).alias("parser_id"))
     return out.select("doc_id", "n_chars", F.coalesce("n_spans", F.lit(0)).alias("n_spans"), *columns)
 
 

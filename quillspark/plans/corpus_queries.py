@@ -105,20 +105,21 @@ _PY_SPACE = r"[\t\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202
 _NORMAL = rf"regexp_replace(regexp_replace(replace(regexp_replace(nfc_normalize(text), '\r\n?', E'\n', 'g'), E'\t', ' '), '{_PY_SPACE}+\n', E'\n', 'g'), '{_PY_SPACE}+\z', '')"
 _add("normalize_text", lambda s, d: _docs(s, d).select("doc_id", F.sha2(tx.normalized(F.col("text")), 256).alias("sha")), f"SELECT doc_id, sha256({_NORMAL}) AS sha FROM documents WHERE text IS NOT NULL")
 _add("normalize_fixed_point", lambda s, d: _docs(s, d).select("doc_id", (tx.normalized(F.col("text")) == F.col("text")).alias("is_normal")), f"SELECT doc_id, {_NORMAL} = text AS is_normal FROM documents WHERE text IS NOT NULL")
-for _name in ("latex_strip_comments", "latex_typography", "latex_empty_braces", "latex_refs", "latex_display_math", "latex_floats", "latex_wrappers", "markdown_images"):
+for _name in ("latex_strip_comments", "latex_typography", "latex_empty_braces", "latex_refs", "latex_display_math", "latex_wrappers", "markdown_images"):
     _add(_name, lambda s, d, n=_name: table(s, d, "chunks").select("chunk_uid", F.sha2(tx.passed(F.col("text"), n), 256).alias("sha")), f"SELECT chunk_uid, sha256({tx.passed_sql('text', _name)}) AS sha FROM chunks")
+_add("latex_floats", lambda s, d: table(s, d, "chunks").select("chunk_uid", F.sha2(tx.floats_captioned(F.col("text")), 256).alias("sha")), f"SELECT chunk_uid, sha256({tx.floats_captioned_sql('text')}) AS sha FROM chunks")
 _add("latex_citations", lambda s, d: table(s, d, "chunks").where("text is not null").select("chunk_uid", F.array_join(tx.citation_keys(F.col("text")), ",").alias("keys")), f"SELECT chunk_uid, array_to_string(list_transform(regexp_extract_all(text, '{tx.CITE}', 1), lambda g: array_to_string(list_filter(list_transform(string_split(g, ','), lambda k: trim(k)), lambda k: k <> ''), ',')), ',') AS keys FROM chunks WHERE text IS NOT NULL")
-_LATEX = r"'\title{T ' || doc_id || '}\begin{document}\begin{abstract}' || coalesce(title, '') || '\end{abstract}' || coalesce(abstract, '') || '\bibliography{refs} tail\end{document}'"
+_LATEX = r"'\title{T ' || doc_id || '}\begin{document}\begin{abstract}' || coalesce(title, '') || '\end{abstract}' || coalesce(abstract, '') || '\begin{thebibliography}{9}\bibitem{k} X\end{thebibliography} tail\end{document}'"
 
 
 def _latex(s, d):
     """A LaTeX source made of each paper's title and abstract."""
-    return table(s, d, "papers").select("doc_id", F.concat(F.lit(r"\title{T "), "doc_id", F.lit(r"}\begin{document}\begin{abstract}"), F.coalesce("title", F.lit("")), F.lit(r"\end{abstract}"), F.coalesce("abstract", F.lit("")), F.lit(r"\bibliography{refs} tail\end{document}")).alias("text"))
+    return table(s, d, "papers").select("doc_id", F.concat(F.lit(r"\title{T "), "doc_id", F.lit(r"}\begin{document}\begin{abstract}"), F.coalesce("title", F.lit("")), F.lit(r"\end{abstract}"), F.coalesce("abstract", F.lit("")), F.lit(r"\begin{thebibliography}{9}\bibitem{k} X\end{thebibliography} tail\end{document}")).alias("text"))
 
 
 for _name, _pattern in (("latex_title", tx.TITLE), ("latex_body", tx.BODY), ("latex_abstract", tx.ABSTRACT)):
     _add(_name, lambda s, d, p=_pattern: _latex(s, d).select("doc_id", F.sha2(tx.first_only(F.col("text"), p), 256).alias("sha")), f"SELECT doc_id, sha256(regexp_extract({_LATEX}, '{_pattern}', 1)) AS sha FROM papers")
-_add("latex_bibliography", lambda s, d: _latex(s, d).select("doc_id", F.regexp_instr("text", F.lit(tx.BIBLIOGRAPHY)).cast("bigint").alias("at")), f"SELECT doc_id, CAST(strpos({_LATEX}, '\\bibliography{{refs}}') AS BIGINT) AS at FROM papers")
+_add("latex_bibliography", lambda s, d: _latex(s, d).select("doc_id", F.regexp_instr("text", F.lit(tx.BIBLIOGRAPHY)).cast("bigint").alias("at")), f"SELECT doc_id, CAST(strpos({_LATEX}, '\\begin{{thebibliography}}') AS BIGINT) AS at FROM papers")
 
 
 def _trees(s, d):
@@ -151,7 +152,7 @@ def _sections(s, d):
     return sc.sections(_paths(s, d), _docs(s, d).select("doc_id", F.length("text").alias("n")))
 
 
-_SECTIONS = f"{_COUNTED}, sections AS (SELECT p.doc_id, section_path, p.pos + p.size AS char_start, coalesce(lead(p.pos) OVER (PARTITION BY p.doc_id ORDER BY p.pos), length(t.text)) AS char_end FROM paths p JOIN documents t ON p.doc_id = t.doc_id)"
+_SECTIONS = f"{_COUNTED}, sections AS (SELECT p.doc_id, section_path, p.pos AS char_start, coalesce(lead(p.pos) OVER (PARTITION BY p.doc_id ORDER BY p.pos), length(t.text)) AS char_end FROM paths p JOIN documents t ON p.doc_id = t.doc_id)"
 _add("section_paths", lambda s, d: _paths(s, d).select("doc_id", "pos", "section_path"), f"WITH {_COUNTED} SELECT doc_id, pos, section_path FROM paths")
 _add("section_offsets", lambda s, d: _sections(s, d).select("doc_id", "section_path", F.col("char_start").cast("bigint").alias("char_start"), F.col("char_end").cast("bigint").alias("char_end")), f"WITH {_SECTIONS} SELECT doc_id, section_path, char_start, char_end FROM sections WHERE char_end > char_start")
 
@@ -160,7 +161,8 @@ _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _SPANS = rf"spans AS (SELECT doc_id, k, span FROM (SELECT doc_id, {_STRIP.format('x')} AS span, k FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n\s*\n')) AS x, generate_subscripts(regexp_split_to_array(text, '\n\s*\n'), 1) AS k FROM documents WHERE text IS NOT NULL)) WHERE span <> '')"
 _BROKEN = " OR ".join(["(length(span) - length(replace(span, '$', ''))) % 2 = 1", *[f"length(replace(span, '{a}', '')) <> length(replace(span, '{b}', ''))" for a, b in (("{", "}"), (r"\(", r"\)"), (r"\[", r"\]"))]])
 _MACRO = f"regexp_matches(span, '{tx.MACRO}')"
-_REFS = f"len(list_filter(string_split(span, E'\\n'), lambda x: regexp_matches(x, '{tx.NUMBERED_LINE}'))) * 2 >= len(string_split(span, E'\\n'))"
+_LISTED = "list_filter(string_split(span, E'\\n'), lambda x: regexp_matches(x, '\\S'))"
+_REFS = f"len(list_filter({_LISTED}, lambda x: regexp_matches(x, '{tx.NUMBERED_LINE}'))) * 2 >= greatest(1, len({_LISTED}))"
 _RATE = lambda x: f"avg(CASE WHEN {x} THEN 1.0 ELSE 0.0 END)"
 _HEADER = rf"header AS (SELECT doc_id, sum(CASE WHEN regexp_matches(line, '{tx.STAMP}') OR (length(line) <= 80 AND n >= 3) THEN n ELSE 0 END) / sum(n) AS h FROM (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, {_STRIP.format('l')} AS line FROM (SELECT doc_id, unnest(string_split(text, E'\n')) AS l FROM documents WHERE text IS NOT NULL)) WHERE line <> '' GROUP BY ALL) GROUP BY doc_id)"
 
@@ -179,16 +181,16 @@ _add("quality_macro_residue", lambda s, d: _rate_of(s, d, "rate", tx.has_macro(F
 _add("quality_reference_only", lambda s, d: _rate_of(s, d, "rate", tx.is_references(F.col("span"))), f"WITH {_SPANS} SELECT doc_id, round({_RATE(_REFS)}, 9) AS rate FROM spans GROUP BY doc_id")
 _add("quality_span_length", lambda s, d: _spans(s, d).groupBy("doc_id").agg(F.round(F.avg(F.length("span")), 6).alias("mean_length"), F.round(F.avg((F.length("span") < 40).cast("double")), 9).alias("short_rate")), f"WITH {_SPANS} SELECT doc_id, round(avg(length(span)), 6) AS mean_length, round({_RATE('length(span) < 40')}, 9) AS short_rate FROM spans GROUP BY doc_id")
 _add("quality_header_footer", lambda s, d: sc.header_rates(_docs(s, d)).select("doc_id", F.round("header_footer_contamination_rate", 9).alias("rate")), f"WITH {_HEADER} SELECT doc_id, round(h, 9) AS rate FROM header")
-_add("quality_coverage", lambda s, d: _sections(s, d).groupBy("doc_id").agg(F.sum(F.col("char_end") - F.col("char_start")).alias("section_chars")), f"WITH {_SECTIONS} SELECT doc_id, CAST(sum(char_end - char_start) AS BIGINT) AS section_chars FROM sections WHERE char_end > char_start GROUP BY doc_id")
+_COVERED = f"{_SECTIONS}, covered AS (SELECT doc_id, sum(char_end - char_start) AS c FROM sections WHERE char_end > char_start GROUP BY doc_id)"
+_COVERAGE = "CASE WHEN length(text) = 0 OR c IS NULL THEN 0.0 ELSE least(1.0, c / length(text)) END"
+_add("quality_coverage", lambda s, d: sc.section_coverage(_docs(s, d), sc.section_chars(_sections(s, d))).select("doc_id", F.round("mean_section_label_coverage", 9).alias("coverage")), f"WITH {_COVERED} SELECT d.doc_id, round({_COVERAGE}, 9) AS coverage FROM documents d LEFT JOIN covered c ON d.doc_id = c.doc_id WHERE text IS NOT NULL")
 _add(
-    "quality_report", lambda s, d: sc.quality_report(_docs(s, d)).withColumn("n_chars", F.col("n_chars").cast("bigint")),
-    f"""WITH {_SPANS}, {_HEADER}, r AS (SELECT doc_id, count(*) AS n_spans, {_RATE(_BROKEN)} AS b, {_RATE(_MACRO)} AS m, {_RATE(_REFS)} AS f, avg(length(span)) AS l, {_RATE('length(span) < 40')} AS s FROM spans GROUP BY doc_id)
-SELECT d.doc_id, length(text) AS n_chars, coalesce(n_spans, 0) AS n_spans, round(coalesce(h, 0.0), 9) AS header_footer_contamination_rate, round(coalesce(b, 0.0), 9) AS broken_math_span_rate, round(coalesce(m, 0.0), 9) AS unexpanded_macro_rate, round(coalesce(f, 0.0), 9) AS reference_only_span_rate, round(coalesce(l, 0.0), 9) AS mean_span_length_chars, round(coalesce(s, 0.0), 9) AS short_span_rate
-FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN header h ON d.doc_id = h.doc_id WHERE text IS NOT NULL""",
+    "quality_report", lambda s, d: sc.quality_report(_docs(s, d), sc.section_chars(_sections(s, d)), parser="text.v1").withColumn("n_chars", F.col("n_chars").cast("bigint")),
+    f"""WITH {_COVERED}, {_SPANS}, {_HEADER}, r AS (SELECT doc_id, count(*) AS n_spans, {_RATE(_BROKEN)} AS b, {_RATE(_MACRO)} AS m, {_RATE(_REFS)} AS f, avg(length(span)) AS l, {_RATE('length(span) < 40')} AS s FROM spans GROUP BY doc_id)
+SELECT d.doc_id, length(text) AS n_chars, coalesce(n_spans, 0) AS n_spans, round(coalesce(h, 0.0), 9) AS header_footer_contamination_rate, round(coalesce(b, 0.0), 9) AS broken_math_span_rate, round(coalesce(m, 0.0), 9) AS unexpanded_macro_rate, round(coalesce(f, 0.0), 9) AS reference_only_span_rate, round(coalesce(l, 0.0), 9) AS mean_span_length_chars, round(coalesce(s, 0.0), 9) AS short_span_rate,
+round({_COVERAGE}, 9) AS mean_section_label_coverage, 'text.v1' AS parser_id
+FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN header h ON d.doc_id = h.doc_id LEFT JOIN covered c ON d.doc_id = c.doc_id WHERE text IS NOT NULL""",
 )
-# With the coverage by sections, which the SQL of the two above lacks
-_add("quality_coverage_whole", lambda s, d: sc.section_coverage(_docs(s, d), sc.section_chars(_sections(s, d))).select("doc_id", F.round("mean_section_label_coverage", 9).alias("coverage")))
-_add("quality_report_whole", lambda s, d: sc.quality_report(_docs(s, d), sc.section_chars(_sections(s, d))).withColumn("n_chars", F.col("n_chars").cast("bigint")))
 _SEVEN = ("header_footer_contamination_rate", "broken_math_span_rate", "unexpanded_macro_rate", "reference_only_span_rate", "mean_section_label_coverage", "mean_span_length_chars", "short_span_rate")
 _add("quality_aggregate", lambda s, d: table(s, d, "parse_quality").groupBy("parser_id").agg(*[F.round(F.avg(c), 9).alias(c) for c in _SEVEN]), f"SELECT parser_id, {', '.join(f'round(avg({c}), 9) AS {c}' for c in _SEVEN)} FROM parse_quality GROUP BY parser_id")
 _add("quality_by_parser", lambda s, d: table(s, d, "parse_quality").where("parser_id = 'latex.v3'").agg(F.count("*").alias("n"), F.round(F.avg("mean_section_label_coverage"), 9).alias("coverage")), "SELECT count(*) AS n, round(avg(mean_section_label_coverage), 9) AS coverage FROM parse_quality WHERE parser_id = 'latex.v3'")

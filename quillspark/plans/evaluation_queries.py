@@ -94,9 +94,9 @@ def _pairs(s, d):
 
 _PAIRS = f"pairs AS (SELECT x.query_id, x.ndcg_at_10 AS a, y.ndcg_at_10 AS b FROM ({rescore_sql(['ndcg@10'], 'a')}) x JOIN ({rescore_sql(['ndcg@10'], 'b')}) y ON x.query_id = y.query_id WHERE x.ndcg_at_10 IS NOT NULL AND y.ndcg_at_10 IS NOT NULL)"
 _NUMBERED = f"WITH {_PAIRS}, rows AS (SELECT b - a AS d, row_number() OVER (ORDER BY query_id) - 1 AS i, count(*) OVER () AS n FROM pairs)"
-_TIMES = 200
-_DRAW = "CAST('0x' || substr(md5(t || ':' || i), 1, 8) AS BIGINT)"
-_MEANS = f"means AS (SELECT t, avg(r.d) AS mean FROM (SELECT t, {_DRAW} % n AS j FROM rows, range({_TIMES}) x(t)) p JOIN rows r ON r.i = p.j GROUP BY t)"
+_TIMES = 10_000
+_DRAWS = f"draws AS (SELECT t, i, d, n, {st.draw_sql('t', 'i')} AS draw FROM rows, range({_TIMES}) x(t))"
+_MEANS = f"{_DRAWS}, means AS (SELECT t, avg(r.d) AS mean FROM draws p JOIN rows r ON r.i = p.draw % p.n GROUP BY t)"
 _add("paired_align", _pairs, f"WITH {_PAIRS} SELECT query_id, a, b FROM pairs")
 _add("paired_checks", lambda s, d: _pairs(s, d).agg(F.count("*").alias("n"), F.count_if(F.isnan("a") | F.isnan("b")).alias("n_nan"), F.count_distinct("query_id").alias("n_queries")), f"WITH {_PAIRS} SELECT count(*) AS n, count(*) FILTER (WHERE isnan(a) OR isnan(b)) AS n_nan, count(DISTINCT query_id) AS n_queries FROM pairs")
 
@@ -110,18 +110,14 @@ def _rounded(df, *names):
 
 
 _BOOT = f"{_NUMBERED}, {_MEANS} SELECT (SELECT count(*) FROM rows) AS n, round((SELECT avg(d) FROM rows), 8) AS delta, round(quantile_cont(mean, 0.025), 8) AS low, round(quantile_cont(mean, 0.975), 8) AS high, round(avg(CASE WHEN mean > 0 THEN 1.0 ELSE 0.0 END), 8) AS above FROM means"
-_add("paired_bootstrap", lambda s, d: _rounded(st.bootstrap_table(_pairs(s, d), _TIMES, draw=st.md5_draw), "delta", "low", "high", "above"), _BOOT)
-_RAND = f"""{_NUMBERED}, flips AS (SELECT t, avg(CASE WHEN {_DRAW} % 2 = 0 THEN d ELSE -d END) AS mean FROM rows, range({_TIMES}) x(t) GROUP BY t), seen AS (SELECT avg(d) AS delta FROM rows)
+_add("paired_bootstrap", lambda s, d: _rounded(st.bootstrap_table(_pairs(s, d), _TIMES), "delta", "low", "high", "above"), _BOOT)
+_RAND = f"""{_NUMBERED}, {_DRAWS}, flips AS (SELECT t, avg(CASE WHEN draw % 2 = 0 THEN d ELSE -d END) AS mean FROM draws GROUP BY t), seen AS (SELECT avg(d) AS delta FROM rows)
 SELECT round(max(delta), 8) AS delta, round((count(*) FILTER (WHERE abs(mean) >= abs(delta) - 1e-12) + 1) / (count(*) + 1), 8) AS p FROM flips, seen"""
-_add("randomization_test", lambda s, d: _rounded(st.randomization_table(_pairs(s, d), _TIMES, draw=st.md5_draw), "delta", "p"), _RAND)
+_add("randomization_test", lambda s, d: _rounded(st.randomization_table(_pairs(s, d), _TIMES), "delta", "p"), _RAND)
 _add(
-    "paired_verdict", lambda s, d: _verdict(st.bootstrap_table(_pairs(s, d), _TIMES, draw=st.md5_draw)),
+    "paired_verdict", lambda s, d: _verdict(st.bootstrap_table(_pairs(s, d), _TIMES)),
     f"SELECT CASE WHEN (low <= 0 AND high >= 0) OR abs(delta) < 0.02 THEN 'indistinguishable' WHEN delta > 0 THEN 'b_better' ELSE 'a_better' END AS verdict FROM ({_BOOT})",
 )
-# The whole comparison, of the operators' 10,000 resamples and flips; those above, of _TIMES, are what their SQL draws
-_add("paired_bootstrap_whole", lambda s, d: _rounded(st.bootstrap_table(_pairs(s, d)), "delta", "low", "high", "above"))
-_add("randomization_test_whole", lambda s, d: _rounded(st.randomization_table(_pairs(s, d)), "delta", "p"))
-_add("paired_verdict_whole", lambda s, d: _verdict(st.bootstrap_table(_pairs(s, d))))
 _Z = st.norm_ppf(0.975) + st.norm_ppf(0.8)
 _add("min_detectable_effect", lambda s, d: _pairs(s, d).agg(F.round(st.min_detectable_effect(F.stddev_samp(F.col("b") - F.col("a")), F.count("*")), 8).alias("mde")), f"WITH {_PAIRS} SELECT round({_Z!r} * stddev_samp(b - a) / sqrt(count(*)), 8) AS mde FROM pairs")
 _add("required_n", lambda s, d: _pairs(s, d).agg(st.required_n(F.stddev_samp(F.col("b") - F.col("a")), 0.02).alias("n")), f"WITH {_PAIRS} SELECT CAST(greatest(1, ceil(pow({_Z!r} * stddev_samp(b - a) / 0.02, 2))) AS BIGINT) AS n FROM pairs")

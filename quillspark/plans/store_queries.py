@@ -72,7 +72,8 @@ _add(
 _add("corpus_snapshot", lambda s, d: tb.snapshot_id(table(s, d, "papers").select(F.col("doc_text_sha256").alias("content_hash"), "doc_id", F.col("latest_version").alias("version")).distinct()))
 _add("new_chunks", lambda s, d: tb.new_keys(table(s, d, "chunks").select("chunk_uid", "ingested_at").where("ingested_at >= '2025-01-01'"), table(s, d, "chunks").where("ingested_at < '2025-01-01'"), "chunk_uid").select("chunk_uid").distinct(), "SELECT DISTINCT chunk_uid FROM chunks WHERE ingested_at >= '2025-01-01' AND chunk_uid NOT IN (SELECT chunk_uid FROM chunks WHERE ingested_at < '2025-01-01')")
 _add("ingest_idempotency", lambda s, d: tb.same_keys(tb.upserted(_papers(s, d), _papers(s, d), "doc_id"), _papers(s, d), "doc_id"), "SELECT CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b")
-_add("ingest_limit", lambda s, d: table(s, d, "papers").select("doc_id").distinct().orderBy("doc_id").limit(20), "SELECT DISTINCT doc_id FROM papers ORDER BY doc_id LIMIT 20")
+# the first 20 papers in the order in which they were listed, then by id: the limit comes before the order of processing
+_add("ingest_limit", lambda s, d: table(s, d, "harvest_records").where("base_id is not null").groupBy(F.col("base_id").alias("doc_id")).agg(F.min("rec_seq").alias("listed")).orderBy("listed", "doc_id").limit(20).select("doc_id").orderBy("doc_id"), "SELECT doc_id FROM (SELECT base_id AS doc_id, min(rec_seq) AS listed FROM harvest_records WHERE base_id IS NOT NULL GROUP BY base_id ORDER BY listed, doc_id LIMIT 20) ORDER BY doc_id")
 _add(
     "manifest_seed", lambda s, d: (lambda known: known.withColumn("seeded", F.lit(False)).unionByName(tb.new_keys(table(s, d, "versioned_records").select(F.col("origin").alias("doc_id")).unionByName(table(s, d, "chunks").select("doc_id")).where("doc_id is not null").distinct(), known, "doc_id").withColumn("seeded", F.lit(True))))(table(s, d, "papers").select("doc_id").distinct()),
     "WITH k AS (SELECT DISTINCT doc_id FROM papers), t AS (SELECT origin AS doc_id FROM versioned_records UNION SELECT doc_id FROM chunks) SELECT doc_id, FALSE AS seeded FROM k UNION ALL SELECT doc_id, TRUE FROM t WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM k)",
@@ -170,6 +171,7 @@ def _archives(s):
         [
             ("a", bytearray(_tar({"main.tex": main, "part.tex": b"\\section{P}"}))), ("b", bytearray(gzip.compress(main))), ("c", bytearray(b"%PDF-1.5")), ("d", bytearray(b"plain")),
             ("e", bytearray(_tar({"../up.tex": main}))), ("f", bytearray(gzip.compress(b"no markup here"))), ("g", bytearray(_tar({"one.tex": main, "two.tex": main.replace(b"part", b"one")}))),
+            ("h", bytearray(_tar({"src/main.tex": main, "supplement.tex": main}))), ("i", bytearray(_tar({"one.tex": main, "two.tex": main}))), ("j", bytearray(_tar({"a.tex": main.replace(b"\\input{part}", b""), "b.tex": b"\\section{B}"}))),
         ],
         "doc_id string, content binary",
     )
@@ -179,9 +181,9 @@ def _texts(s):
     return ar.extracted(_archives(s).where(ar.archive_kind(F.col("content")) == "gzip")).where("error is null").select("doc_id", "path", F.col("content").cast("string").alias("content"))
 
 
-_add("eprint_classify", lambda s, d: _archives(s).select("doc_id", ar.archive_kind(F.col("content")).alias("kind")), "SELECT * FROM (VALUES ('a', 'gzip'), ('b', 'gzip'), ('c', 'pdf'), ('d', 'unknown'), ('e', 'gzip'), ('f', 'gzip'), ('g', 'gzip')) t(doc_id, kind)")
-_add("eprint_extract", lambda s, d: ar.extracted(_archives(s).where(ar.archive_kind(F.col("content")) == "gzip")).select("doc_id", "path", F.col("error").isNotNull().alias("refused")), "SELECT * FROM (VALUES ('a', 'main.tex', FALSE), ('a', 'part.tex', FALSE), ('b', 'main.tex', FALSE), ('e', NULL, TRUE), ('f', 'main.txt', FALSE), ('g', 'one.tex', FALSE), ('g', 'two.tex', FALSE)) t(doc_id, path, refused)")
-_add("main_tex_pick", lambda s, d: ar.first_main(_texts(s)), "SELECT * FROM (VALUES ('a', 'main.tex'), ('b', 'main.tex'), ('g', 'one.tex')) t(doc_id, main)")
-_add("main_tex_resolve", lambda s, d: ar.main_files(_texts(s)).select("doc_id", "main", F.col("rule").cast("bigint").alias("rule")), "SELECT * FROM (VALUES ('a', 'main.tex', 2::BIGINT), ('b', 'main.tex', 1), ('g', 'two.tex', 4)) t(doc_id, main, rule)")
+_add("eprint_classify", lambda s, d: _archives(s).select("doc_id", ar.archive_kind(F.col("content")).alias("kind")), "SELECT * FROM (VALUES ('a', 'gzip'), ('b', 'gzip'), ('c', 'pdf'), ('d', 'unknown'), ('e', 'gzip'), ('f', 'gzip'), ('g', 'gzip'), ('h', 'gzip'), ('i', 'gzip'), ('j', 'gzip')) t(doc_id, kind)")
+_add("eprint_extract", lambda s, d: ar.extracted(_archives(s).where(ar.archive_kind(F.col("content")) == "gzip")).select("doc_id", "path", F.col("error").isNotNull().alias("refused")), "SELECT * FROM (VALUES ('a', 'main.tex', FALSE), ('a', 'part.tex', FALSE), ('b', 'main.tex', FALSE), ('e', NULL, TRUE), ('f', 'main.txt', FALSE), ('g', 'one.tex', FALSE), ('g', 'two.tex', FALSE), ('h', 'src/main.tex', FALSE), ('h', 'supplement.tex', FALSE), ('i', 'one.tex', FALSE), ('i', 'two.tex', FALSE), ('j', 'a.tex', FALSE), ('j', 'b.tex', FALSE)) t(doc_id, path, refused)")
+_add("main_tex_pick", lambda s, d: ar.first_main(_texts(s)), "SELECT * FROM (VALUES ('a', 'main.tex'), ('b', 'main.tex'), ('g', 'one.tex'), ('h', 'src/main.tex'), ('i', 'one.tex'), ('j', 'a.tex')) t(doc_id, main)")
+_add("main_tex_resolve", lambda s, d: ar.main_files(_texts(s)).select("doc_id", "main", F.col("rule").cast("bigint").alias("rule")), "SELECT * FROM (VALUES ('a', 'main.tex', 2::BIGINT), ('b', 'main.tex', 1), ('g', 'two.tex', 4), ('h', 'src/main.tex', 2), ('i', NULL, NULL), ('j', 'a.tex', 3)) t(doc_id, main, rule)")
 _add("files_hash", lambda s, d: ar.files_hash(table(s, d, "chunks").where("text is not null").select("doc_id", F.col("chunk_uid").alias("path"), F.col("text").alias("content")).distinct()), "SELECT doc_id, sha256(string_agg(x, E'\\n' ORDER BY slot, x)) AS sha FROM (SELECT doc_id, substr(md5(chunk_uid), 1, 3) AS slot, sha256(string_agg(sha256(text), E'\\n' ORDER BY chunk_uid, sha256(text))) AS x FROM (SELECT DISTINCT doc_id, chunk_uid, text FROM chunks WHERE text IS NOT NULL) GROUP BY doc_id, substr(md5(chunk_uid), 1, 3)) GROUP BY doc_id")
 _add("resume_locate", lambda s, d: table(s, d, "papers").select("doc_id").distinct().join(table(s, d, "chunks").groupBy("doc_id").agg(F.min("chunk_uid").alias("first_file")), "doc_id", "left"), "SELECT p.doc_id, f.first_file FROM (SELECT DISTINCT doc_id FROM papers) p LEFT JOIN (SELECT doc_id, min(chunk_uid) AS first_file FROM chunks GROUP BY doc_id) f ON p.doc_id = f.doc_id")

@@ -12,8 +12,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillspark.operators.latex import INCLUDE
+from quillspark.operators.latex import INCLUDE, resolved
 
 
 def archive_kind(content: Column) -> Column:
@@ -70,21 +71,25 @@ def extracted(df: DataFrame, most: int = 200 << 20) -> DataFrame:
     return df.where(F.col("content").isNotNull()).select("doc_id", "content").mapInPandas(run, "doc_id string, path string, content binary, error string")
 
 
+@F.pandas_udf(T.StructType([T.StructField("main", T.StringType()), T.StructField("rule", T.IntegerType())]))
+def _main_of(files: pd.Series) -> pd.DataFrame:
+    """The main file of each list of (path, classed, includes)."""
+    rows = []
+    for group in files:
+        paths = {f["path"] for f in group}
+        included = {resolved(paths, f["path"], t) for f in group for t in f["includes"]}
+        rules = (paths, {p for p in paths if posixpath.basename(p) == "main.tex"}, {f["path"] for f in group if f["classed"]}, paths - included)
+        rows.append(next(((min(left), k) for k, left in enumerate(rules, 1) if len(left) == 1), (None, None)))
+    return pd.DataFrame(rows, columns=["main", "rule"]).astype({"rule": "Int32"})
+
+
 def main_files(files: DataFrame) -> DataFrame:
     """doc_id, main, rule: files has doc_id, path, content (text). The first rule that leaves exactly one file decides:
-    1 the only .tex file, 2 the only one with a document class, 3 of those the one that begins a document, 4 of those the
-    one that no other includes; no rule gives main null."""
-    tex = files.where(F.lower("path").endswith(".tex"))
-    marked = tex.select("doc_id", "path", F.contains("content", F.lit("\\documentclass")).alias("classed"), F.contains("content", F.lit("\\begin{document}")).alias("begun"), F.regexp_extract_all("content", F.lit(INCLUDE.pattern), F.lit(1)).alias("includes"))
-    targets = marked.select("doc_id", F.explode("includes").alias("t")).select("doc_id", F.regexp_replace(F.trim("t"), r"(\.tex)?$", ".tex").alias("path")).distinct().withColumn("included", F.lit(True))
-    rows = marked.join(targets, ["doc_id", "path"], "left")
-    first = F.col("classed")
-    second = first & F.col("begun")
-    third = second & F.col("included").isNull()
-    only = lambda c: F.when(F.count_if(c) == 1, F.min(F.when(c, F.col("path"))))
-    by = rows.groupBy("doc_id").agg(only(F.lit(True)).alias("r1"), only(first).alias("r2"), only(second).alias("r3"), only(third).alias("r4"))
-    rule = F.when(F.col("r1").isNotNull(), 1).when(F.col("r2").isNotNull(), 2).when(F.col("r3").isNotNull(), 3).when(F.col("r4").isNotNull(), 4)
-    return by.select("doc_id", F.coalesce("r1", "r2", "r3", "r4").alias("main"), rule.alias("rule"))
+    1 the only .tex file, 2 the only one named main.tex, 3 the only one with a document class, 4 the only one that no file of the
+    tree includes; no rule gives main null. Only paths and includes of a document are gathered, not its texts."""
+    tex = files.where(F.endswith("path", F.lit(".tex")))
+    told = tex.select("doc_id", F.struct("path", F.coalesce(F.contains("content", F.lit("\\documentclass")), F.lit(False)).alias("classed"), F.coalesce(F.regexp_extract_all("content", F.lit(INCLUDE.pattern), F.lit(1)), F.array().cast("array<string>")).alias("includes")).alias("f"))
+    return told.groupBy("doc_id").agg(F.collect_list("f").alias("files")).select("doc_id", _main_of("files").alias("m")).select("doc_id", "m.*")
 
 
 def first_main(files: DataFrame) -> DataFrame:

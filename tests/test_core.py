@@ -323,7 +323,7 @@ def test_latex_errors_are_rows(spark):
 
 def test_markdown_parser():
     p = latex.parse_markdown("# Title\n![i](x.png)intro\n## Abstract\nShort.\n## Body\n### Deep\nx")
-    assert (p.title, p.abstract) == ("Title", "Short.") and [s[0] for s in p.sections] == ["Title", "Title > Abstract", "Title > Body", "Title > Body > Deep"]
+    assert (p.title, p.abstract) == ("Title", "1.1 Abstract\nShort.") and [s[0] for s in p.sections] == ["1 Title", "1 Title > 1.1 Abstract", "1 Title > 1.2 Body", "1 Title > 1.2 Body > 1.2.1 Deep"]
 
 
 def test_section_windows_equal_the_stack(spark):
@@ -332,13 +332,13 @@ def test_section_windows_equal_the_stack(spark):
     for doc in range(25):
         labels = [(rng.randrange(1, 7), rng.random() < 0.7, rng.choice(["", "A", "B c"])) for _ in range(rng.randrange(1, 14))]
         rows += [(doc, 10 * k, 1, lv, num, title) for k, (lv, num, title) in enumerate(labels)]
-        want |= {(doc, 10 * k): p for k, p in enumerate(latex.path_stack([(lv, num and lv <= 3, t) for lv, num, t in labels]))}
+        want |= {(doc, 10 * k): p for k, p in enumerate(" > ".join(parts) for parts in latex.path_stack([(lv, num and lv <= 3, t) for lv, num, t in labels]))}
     got = structure.section_paths(spark.createDataFrame(rows, "doc_id int, pos int, size int, level int, numbered boolean, title string"))
     assert {(r.doc_id, r.pos): r.section_path for r in got.collect()} == want
 
 
 def test_quality_of_texts_without_spans(spark):
-    df = spark.createDataFrame([(1, "  \n\n "), (2, None), (3, "$x \\foo{\n\n1. ref\n2. ref")], "doc_id int, text string")
+    df = spark.createDataFrame([(1, "  \n\n "), (2, None), (3, "$x \\emph{\n\n1. ref\n2. ref")], "doc_id int, text string")
     got = {r.doc_id: r for r in structure.quality_report(df).collect()}
     assert set(got) == {1, 3} and got[1].n_spans == 0 and got[1].short_span_rate == 0
     assert got[3].broken_math_span_rate == 0.5 and got[3].unexpanded_macro_rate == 0.5 and got[3].reference_only_span_rate == 0.5

@@ -15,16 +15,16 @@ def test_whole_comparison_draws_ten_thousand(spark):
     queries = plans.queries()
     d = np.array([r.b - r.a for r in queries["paired_align"](spark, DATA).orderBy("query_id").collect()])
     grid = spark.range(10_000).select(F.col("id").alias("t")).select("t", F.explode(F.sequence(F.lit(0), F.lit(len(d) - 1))).alias("i"))
-    draws = np.array(grid.orderBy("t", "i").select(st.fast_draw(F.col("t"), F.col("i")).alias("x")).toPandas()["x"]).reshape(10_000, len(d))
+    draws = np.array(grid.orderBy("t", "i").select(st.draw(F.col("t"), F.col("i")).alias("x")).toPandas()["x"]).reshape(10_000, len(d))
     means = d[draws % len(d)].mean(axis=1)
-    boot = queries["paired_bootstrap_whole"](spark, DATA).first()
+    boot = queries["paired_bootstrap"](spark, DATA).first()
     assert [boot.n, boot.low, boot.high] == pytest.approx([len(d), *np.quantile(means, [0.025, 0.975])], abs=1e-8)
     assert boot.above == pytest.approx((means > 0).mean(), abs=0.02)  # means of 0 but for rounding
     flips = (d * np.where(draws % 2 == 0, 1, -1)).mean(axis=1)
     p = ((np.abs(flips) >= abs(d.mean()) - 1e-12).sum() + 1) / 10_001
-    assert queries["randomization_test_whole"](spark, DATA).first().p == pytest.approx(p, abs=1e-8)
+    assert queries["randomization_test"](spark, DATA).first().p == pytest.approx(p, abs=1e-8)
     won = "indistinguishable" if boot.low <= 0 <= boot.high or abs(d.mean()) < 0.02 else "b_better" if d.mean() > 0 else "a_better"
-    assert queries["paired_verdict_whole"](spark, DATA).first().verdict == won
+    assert queries["paired_verdict"](spark, DATA).first().verdict == won
     own = st.bootstrap([0.0] * len(d), list(d))
     assert [boot.low, boot.high] == pytest.approx([own["low"], own["high"]], abs=0.02)
 
@@ -65,8 +65,8 @@ def test_quality_queries_cover_every_document(spark):
     for r in queries["section_offsets"](spark, DATA).collect():
         chars[r.doc_id] += r.char_end - r.char_start
     want = {k: round(min(1.0, n / len(texts[k])), 9) if texts[k] else 0.0 for k, n in chars.items()}
-    assert {r.doc_id: r.coverage for r in queries["quality_coverage_whole"](spark, DATA).collect()} == want
-    assert {r.doc_id: r.mean_section_label_coverage for r in queries["quality_report_whole"](spark, DATA).collect()} == want
+    assert {r.doc_id: r.coverage for r in queries["quality_coverage"](spark, DATA).collect()} == want
+    assert {r.doc_id: r.mean_section_label_coverage for r in queries["quality_report"](spark, DATA).collect()} == want
 
 
 def test_ingest_keeps_sections_and_their_coverage(spark, tmp_path):
