@@ -93,6 +93,12 @@ def rescore(run: DataFrame, qrels: DataFrame, specs: list[str], rule: str = "iou
     return out.select("query_id", *columns)
 
 
+def with_provenance(scores: DataFrame, run_id: str, qrels_version: DataFrame, rule: str = "iou", threshold: float = 0.5) -> DataFrame:
+    """Scores with what made them: run_id, qrels_version (a frame of one row), overlap_rule and overlap_threshold."""
+    made = qrels_version.select(F.lit(run_id).alias("run_id"), F.col(qrels_version.columns[0]).alias("qrels_version"), F.lit(rule).alias("overlap_rule"), F.lit(float(threshold)).alias("overlap_threshold"))
+    return scores.crossJoin(F.broadcast(made))  # one row beside each query
+
+
 def rank_assigned(scored: DataFrame) -> DataFrame:
     """rank 1..n of each query by score, highest first; of equal scores the smaller chunk_uid."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_uid")))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators.evaluation import run_rejects
+from quillspark.operators.tables import LIMITS
 from quillspark.registry import canonical_json, config_hash
 from quillspark.schemas import RUN_SCHEMA
 
@@ -25,9 +26,23 @@ class RunManifest:
     embedder_id: str
     qrels_version: int
     split: str
+    embedder_snapshot_date: str = ""
     embedding_dim: int = 0
-    query_transform: str = "passthrough"
+    quantization: str = "none"
     index_params: dict[str, Any] = dataclasses.field(default_factory=dict)
+    prefilter: bool = True
+    sparse_id: str | None = None
+    fusion_id: str | None = None
+    reranker_id: str | None = None
+    rerank_top_k: int | None = None
+    query_transform_id: str | None = None
+    generator_id: str | None = None
+    generator_snapshot_date: str | None = None
+    prompt_sha: str | None = None
+    judge_id: str | None = None
+    seed: int = 0
+    constraints: dict[str, float] = dataclasses.field(default_factory=lambda: {name: most for name, (_, most) in LIMITS.items()})
+    code_git_sha: str = ""
     notes: str = ""
 
     def __post_init__(self) -> None:

@@ -72,24 +72,48 @@ def same_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return x.withColumn("side", F.lit(1)).unionByName(y.withColumn("side", F.lit(2))).groupBy(key).agg(F.sum("side").alias("s")).agg(F.count_if(F.col("s") == 1).alias("only_a"), F.count_if(F.col("s") == 2).alias("only_b"))
 
 
-def swap(df: DataFrame, path: str) -> None:
-    """Writes a snapshot beside `path` and puts it in its place: readers see the old or the new one, never a part."""
+def _versions(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
+    """(complete, all) snapshot numbers under `path`, in order. A snapshot is complete once its marker is there, which is made last."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = {str(f.getPath().getName()) for f in fs.listStatus(at)} if fs.exists(at) else set()
+    every = sorted(int(n.removeprefix("snapshot-")) for n in names if n.startswith("snapshot-") and not n.endswith(".done"))
+    return [n for n in every if f"snapshot-{n}.done" in names], every
+
+
+def swap(df: DataFrame, path: str, keep: int = 2) -> None:
+    """Writes the next snapshot of the table kept under `path`. Nothing is renamed: readers see the last complete snapshot
+    until the new one's marker is made, whenever a writer stops. The last `keep` complete ones stay, for readers that
+    still use them; snapshots that were never completed go."""
     spark = df.sparkSession
+    complete, every = _versions(spark, path)
+    number = max(every, default=0) + 1
+    df.write.parquet(f"{path}/snapshot-{number}")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    new, old = hadoop(path + ".new"), hadoop(path + ".old")
-    df.write.mode("overwrite").parquet(path + ".new")
-    fs.delete(old, True)
-    if fs.exists(hadoop(path)):
-        fs.rename(hadoop(path), old)
-    fs.rename(new, hadoop(path))
-    fs.delete(old, True)
+    fs.create(hadoop(f"{path}/snapshot-{number}.done"), False).close()
+    stay = [*complete, number][-keep:]
+    for old in every:
+        if old not in stay:
+            fs.delete(hadoop(f"{path}/snapshot-{old}.done"), False)
+            fs.delete(hadoop(f"{path}/snapshot-{old}"), True)
+
+
+def kept(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The last complete snapshot of the table under `path`; empty where there is none and a schema is given."""
+    complete, _ = _versions(spark, path)
+    if complete:
+        reader = spark.read.schema(schema) if schema else spark.read
+        return reader.parquet(f"{path}/snapshot-{complete[-1]}")
+    if schema is None:
+        raise FileNotFoundError(f"no complete snapshot under {path}")
+    return spark.createDataFrame([], schema)
 
 
 LEDGER = {
     "documents": "doc_id string, namespace string, source_url string, title string, doc_text_sha256 string, parser_id string, char_len int, acl_key string, ingest_run_id string, tombstoned_at timestamp_ntz",
     "chunks": "chunk_uid string, doc_id string, chunker_config_id string, char_start int, char_end int, raw_text_sha256 string, dup_of string",
-    "runs": "run_id string, manifest string, started_at timestamp_ntz, finished_at timestamp_ntz, metrics string, p50_ms double, p95_ms double",
+    "runs": "run_id string, manifest string, git_sha string, started_at timestamp_ntz, finished_at timestamp_ntz, status string, metrics string, cost_usd double, p50_ms double, p95_ms double, peak_rss_mb double, notes string",
     "run_metrics": "run_id string, query_id string, metric string, value double",
     "ingest_runs": "ingest_run_id string, started_at timestamp_ntz, finished_at timestamp_ntz, source string, n_documents int, n_errors int, notes string",
     "errors": "run_id string, stage string, message string, ts timestamp_ntz",
@@ -125,3 +149,66 @@ def recorded(runs: DataFrame, new: DataFrame) -> DataFrame:
     """run_id, action of recording runs: insert, noop (same manifest) or conflict."""
     was = runs.select("run_id", F.col("manifest").alias("was"))
     return new.join(was, "run_id", "left").select("run_id", F.when(F.col("was").isNull(), "insert").when(F.col("was") == F.col("manifest"), "noop").otherwise("conflict").alias("action"))
+
+
+def run_finished(runs: DataFrame, run_metrics: DataFrame, outcomes: DataFrame, per_query: DataFrame, latencies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs, run_metrics) after runs have ended: outcomes has run_id, status, finished_at, metrics (JSON), cost_usd, peak_rss_mb;
+    per_query run_id, query_id, metric, value; latencies run_id, ms.
+
+    A run that ends again replaces what it had, its rows of run_metrics included. The percentiles are linear between
+    neighbours, null without latencies. An outcome of a run that was never recorded fails the query.
+    """
+    ms = latencies.groupBy("run_id").agg(F.percentile("ms", 0.5).alias("p50_ms"), F.percentile("ms", 0.95).alias("p95_ms"))
+    given = outcomes.join(ms, "run_id", "left").select("run_id", F.struct("status", "finished_at", "metrics", "cost_usd", "p50_ms", "p95_ms", "peak_rss_mb").alias("n"))
+    both = runs.withColumn("_known", F.lit(True)).join(given, "run_id", "full_outer")
+    known = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("unknown run "), "run_id"))).otherwise(F.col("n").isNotNull())
+    fresh = ("status", "finished_at", "metrics", "cost_usd", "p50_ms", "p95_ms", "peak_rss_mb")
+    ended = both.select(*[F.when(known, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) if c in fresh else c for c in runs.columns])
+    told = run_metrics.join(outcomes.select("run_id"), "run_id", "left_anti").unionByName(per_query.select(*run_metrics.columns))
+    return ended, told
+
+
+def ingest_recorded(ingest_runs: DataFrame, new: DataFrame) -> DataFrame:
+    """ingest_runs with a row for each new id (ingest_run_id, started_at, source); an id that is there stays as it is."""
+    fresh = new.dropDuplicates(["ingest_run_id"]).join(ingest_runs.select("ingest_run_id"), "ingest_run_id", "left_anti")
+    fresh = fresh.withColumns({"finished_at": F.lit(None).cast("timestamp_ntz"), "n_documents": F.lit(0), "n_errors": F.lit(0), "notes": F.lit("")})
+    return ingest_runs.unionByName(fresh.select(*ingest_runs.columns))
+
+
+def ingest_finished(ingest_runs: DataFrame, ended: DataFrame) -> DataFrame:
+    """ingest_runs with the counts of runs that ended (ingest_run_id, finished_at, n_documents, n_errors, notes); one that ends
+    again replaces them, an unknown one fails the query."""
+    given = ended.select("ingest_run_id", F.struct("finished_at", "n_documents", "n_errors", "notes").alias("n"))
+    both = ingest_runs.withColumn("_known", F.lit(True)).join(given, "ingest_run_id", "full_outer")
+    known = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("unknown ingest run "), "ingest_run_id"))).otherwise(F.col("n").isNotNull())
+    return both.select(*[F.when(known, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) if c in ("finished_at", "n_documents", "n_errors", "notes") else c for c in ingest_runs.columns])
+
+
+def errors_recorded(errors: DataFrame, new: DataFrame) -> DataFrame:
+    """errors with more rows (run_id, stage, message, ts); nothing is ever replaced."""
+    return errors.unionByName(new.select(*errors.columns))
+
+
+def documents_tombstoned(documents: DataFrame, chunks: DataFrame, dead: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, chunks) with tombstoned_at set for the documents in `dead` (doc_id, at) that are known, and for all of
+    their chunks. No row is removed."""
+    known = dead.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
+    return tombstoned(documents, known, "doc_id"), tombstoned(chunks, known, "doc_id")
+
+
+#: Columns that runs may be listed by, and the limits of a run with the column each bounds.
+ORDERABLE = ("started_at", "finished_at", "status", "cost_usd", "p50_ms", "p95_ms", "peak_rss_mb")
+LIMITS = {"max_p95_latency_ms": ("p95_ms", 800.0), "max_peak_rss_mb": ("peak_rss_mb", 2560.0), "max_cost_per_query_usd": ("cost_usd", 0.02)}
+
+
+def listed_runs(runs: DataFrame, by: str = "started_at", descending: bool = True, limit: int = 20) -> DataFrame:
+    """The first `limit` runs by one of ORDERABLE, runs without it last, of equal ones the smaller id."""
+    if by not in ORDERABLE or limit <= 0:
+        raise ValueError(f"runs are listed by one of {', '.join(ORDERABLE)}, and at least one of them")
+    return runs.orderBy(F.desc_nulls_last(by) if descending else F.asc_nulls_last(by), "run_id").limit(limit)
+
+
+def run_violations(runs: DataFrame, limits: dict[str, float] | None = None) -> DataFrame:
+    """run_id, name, most, actual of every limit that a run exceeds; a value that was not measured exceeds none."""
+    renamed = runs.select("run_id", *[F.col(column).alias(name) for name, (column, _) in LIMITS.items()])
+    return violations(renamed, "run_id", {name: most for name, (_, most) in LIMITS.items()} | (limits or {}))

@@ -20,7 +20,10 @@ def _add(name: str, query, sql: str | None = None) -> None:
 
 
 _T = 0.1  # overlap from which a chunk counts
-_add("rescore_wide", lambda s, d: ev.rescore(run(s, d), gold(s, d), SPECS, "iou", _T), rescore_sql(SPECS))
+_add(
+    "rescore_wide", lambda s, d: ev.with_provenance(ev.rescore(run(s, d), gold(s, d), SPECS, "iou", _T), "run-a", table(s, d, "qrels").agg(F.max("qrels_version")), "iou", _T),
+    f"SELECT r.*, 'run-a' AS run_id, (SELECT max(qrels_version) FROM qrels) AS qrels_version, 'iou' AS overlap_rule, {_T}::DOUBLE AS overlap_threshold FROM ({rescore_sql(SPECS)}) r",
+)
 _add("rescore_midpoint", lambda s, d: ev.rescore(run(s, d), gold(s, d), SPECS, "midpoint"), rescore_sql(SPECS, rule="midpoint"))
 for _name, _k in (("recall", 10), ("precision", 10), ("mrr", 10), ("ndcg", 10), ("success", 10)):
     _add(f"metric_{_name}_at_k", lambda s, d, x=f"{_name}@{_k}": ev.rescore(run(s, d), gold(s, d), [x], "iou", _T), rescore_sql([f"{_name}@{_k}"]))

@@ -8,10 +8,14 @@ import tarfile
 
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import normalized
+from quillspark.operators import corpus
+from quillspark.operators import manifest as mf
 from quillspark.operators import tables as tb
 from quillspark.sources import archives as ar
 from quillspark.sources import harvest as hv
-from quillspark.storage import shared_folder, table
+from quillspark.plans.corpus_queries import _NORMAL, _trees
+from quillspark.storage import shared_folder, table, written
 
 QUERIES, SQL = {}, {}
 
@@ -36,8 +40,50 @@ _add("live_documents", lambda s, d: table(s, d, "papers").where("tombstoned_at i
 _add("document_lookup", lambda s, d: table(s, d, "papers").where("doc_id = 'math.GT/9201001'").select("doc_id", "title", "license"), "SELECT doc_id, title, license FROM papers WHERE doc_id = 'math.GT/9201001'")
 _add("chunk_ids_by_doc", lambda s, d: table(s, d, "chunks").where("doc_id = '1501.00001'").select("chunk_uid").distinct(), "SELECT DISTINCT chunk_uid FROM chunks WHERE doc_id = '1501.00001'")
 _add("count_chunks", lambda s, d: table(s, d, "chunks").agg(F.count_distinct("chunk_uid").alias("n")), "SELECT count(DISTINCT chunk_uid) AS n FROM chunks")
-_add("list_runs", lambda s, d: table(s, d, "papers").groupBy("ingest_run_id").agg(F.count("*").alias("n_documents"), F.max("updated_at").alias("finished_at")).orderBy(F.desc_nulls_last("finished_at"), "ingest_run_id").limit(10), "SELECT ingest_run_id, count(*) AS n_documents, max(updated_at) AS finished_at FROM papers GROUP BY ingest_run_id ORDER BY finished_at DESC NULLS LAST, ingest_run_id LIMIT 10")
-_add("manifest_scan", lambda s, d: _papers(s, d).select("doc_id", "char_len"), f"WITH {_PAPERS} SELECT doc_id, char_len FROM one")
+
+
+def _finished_runs(s, d):
+    """Runs made of the events: a run has the values of its users' events as latencies."""
+    e = table(s, d, "events").select(F.concat(F.lit("run-"), F.lpad((F.col("user_id") % 40).cast("string"), 2, "0")).alias("run_id"), "ts", "value")
+    names = {c.split()[0]: c.split()[1] for c in tb.LEDGER["runs"].split(", ")}
+    started = e.groupBy("run_id").agg(F.min("ts").alias("started_at")).withColumn("manifest", F.lit("{}"))
+    started = started.select(*[F.col(c) if c in started.columns else F.lit(None).cast(kind).alias(c) for c, kind in names.items()])
+    done = e.groupBy("run_id").agg(F.lit("finished").alias("status"), F.max("ts").alias("finished_at"), F.lit("{}").alias("metrics"), (F.avg("value") / 5000).alias("cost_usd"), (F.max("value") * 5).alias("peak_rss_mb"))
+    none = s.createDataFrame([], tb.LEDGER["run_metrics"])
+    return written(tb.run_finished(started, none, done, none, e.select("run_id", F.col("value").alias("ms")))[0], "runs")
+
+
+_RUNS = "runs AS (SELECT 'run-' || lpad(CAST(user_id % 40 AS VARCHAR), 2, '0') AS run_id, min(ts) AS started_at, 'finished' AS status, max(ts) AS finished_at, avg(value) / 5000 AS cost_usd, quantile_cont(value, 0.5) AS p50_ms, quantile_cont(value, 0.95) AS p95_ms, max(value) * 5 AS peak_rss_mb FROM events GROUP BY 1)"
+_NUMBERS = ("cost_usd", "p50_ms", "p95_ms", "peak_rss_mb")
+_rounded = lambda df: df.select("run_id", "started_at", "status", "finished_at", *[F.round(c, 6).alias(c) for c in _NUMBERS])
+_ROUNDED = f"SELECT run_id, started_at, status, finished_at, {', '.join(f'round({c}, 6) AS {c}' for c in _NUMBERS)}"
+_add("ledger_run_outcomes", lambda s, d: _rounded(_finished_runs(s, d)), f"WITH {_RUNS} {_ROUNDED} FROM runs")
+_add("list_runs", lambda s, d: _rounded(tb.listed_runs(_finished_runs(s, d), "p95_ms")), f"WITH {_RUNS} {_ROUNDED} FROM runs ORDER BY p95_ms DESC NULLS LAST, run_id LIMIT 20")
+_add("run_constraint_violations", lambda s, d: tb.run_violations(_finished_runs(s, d)).withColumn("actual", F.round("actual", 6)), f"WITH {_RUNS} " + " UNION ALL ".join(f"SELECT run_id, '{name}' AS name, {most}::DOUBLE AS most, round({c}, 6) AS actual FROM runs WHERE {c} > {most}" for name, (c, most) in tb.LIMITS.items()))
+_add("get_run", lambda s, d: _rounded(_finished_runs(s, d).where("run_id = 'run-07'")), f"WITH {_RUNS} {_ROUNDED} FROM runs WHERE run_id = 'run-07'")
+
+
+# The manifest: papers with a hash are parsed, those without have failed, papers of chunks alone are pending, deleted ones are removed
+def _manifest(s, d):
+    papers = table(s, d, "papers").groupBy("doc_id").agg(F.max("doc_text_sha256").alias("content_hash"), F.max("parser_id").alias("parser_used"), F.max("source_url").alias("source_url"))
+    targets = papers.select("doc_id").unionByName(table(s, d, "chunks").select("doc_id"))
+    at = mf.seeded(s.createDataFrame([], mf.MANIFEST), targets)
+    got = F.col("content_hash").isNotNull()
+    at = mf.marked(at, papers.select("doc_id", "source_url", "content_hash", F.when(got, "acquired").otherwise("failed").alias("status"), F.when(~got, "no text").alias("failure_reason")))
+    at = mf.marked(at, papers.where(got).select("doc_id", "parser_used", F.lit("parsed").alias("status")))
+    dead = _dead(s, d).select("doc_id").distinct().join(at.select("doc_id"), "doc_id", "left_semi")
+    return written(mf.marked(at, dead.withColumn("status", F.lit("tombstoned"))), "manifest")
+
+
+_MANIFEST = """p AS (SELECT doc_id, max(doc_text_sha256) AS h FROM papers WHERE doc_id IS NOT NULL GROUP BY doc_id),
+manifest AS (SELECT t.doc_id, h AS content_hash, CASE WHEN t.doc_id IN (SELECT base_id FROM harvest_records WHERE status = 'deleted' AND base_id IS NOT NULL) THEN 'tombstoned' WHEN h IS NOT NULL THEN 'parsed' WHEN p.doc_id IS NOT NULL THEN 'failed' ELSE 'pending' END AS status
+  FROM (SELECT doc_id FROM p UNION SELECT doc_id FROM chunks WHERE doc_id IS NOT NULL) t LEFT JOIN p USING (doc_id))"""
+_add("manifest_states", lambda s, d: _manifest(s, d).select("doc_id", "content_hash", "status", F.col("failure_reason").alias("reason")), f"WITH {_MANIFEST} SELECT doc_id, content_hash, status, CASE WHEN status = 'failed' THEN 'no text' END AS reason FROM manifest")
+_add(
+    "needs_acquisition", lambda s, d: mf.needs_acquisition(table(s, d, "harvest_records").select(F.col("base_id").alias("doc_id")).unionByName(table(s, d, "papers").select("doc_id")), _manifest(s, d)),
+    f"WITH {_MANIFEST} SELECT t.doc_id, coalesce(status, '') NOT IN ('acquired', 'parsed', 'tombstoned') AS needs FROM (SELECT base_id AS doc_id FROM harvest_records WHERE base_id IS NOT NULL UNION SELECT doc_id FROM papers WHERE doc_id IS NOT NULL) t LEFT JOIN manifest m ON t.doc_id = m.doc_id",
+)
+_add("manifest_scan", lambda s, d: _manifest(s, d).where("status = 'parsed'").select("doc_id", "content_hash"), f"WITH {_MANIFEST} SELECT doc_id, content_hash FROM manifest WHERE status = 'parsed'")
 _add("canonical_lookup", lambda s, d: table(s, d, "documents").where("doc_id = 101").select("doc_id", "n_chars"), "SELECT doc_id, n_chars FROM documents WHERE doc_id = 101")
 
 
@@ -57,17 +103,35 @@ def _dead(s, d):
 
 
 _DEAD = "dead AS (SELECT DISTINCT base_id FROM harvest_records WHERE status = 'deleted')"
+
+
+def _cascaded(s, d):
+    one = _papers(s, d).select("doc_id", "tombstoned_at")
+    chunks = table(s, d, "chunks").groupBy("chunk_uid", "doc_id").agg(F.max("tombstoned_at").alias("tombstoned_at"))
+    documents, chunks = tb.documents_tombstoned(one, chunks, _dead(s, d))
+    return documents.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "doc_id", "tombstoned_at").unionByName(chunks.select(F.lit("chunk").alias("kind"), F.col("chunk_uid").alias("id"), "doc_id", "tombstoned_at"))
+
+
 _add(
-    "ledger_tombstone", lambda s, d: tb.tombstoned(table(s, d, "chunks").groupBy("chunk_uid", "doc_id").agg(F.max("tombstoned_at").alias("tombstoned_at")), _dead(s, d), "doc_id").select("chunk_uid", "doc_id", "tombstoned_at"),
-    f"WITH {_DEAD} SELECT chunk_uid, doc_id, CASE WHEN base_id IS NOT NULL THEN TIMESTAMP '2030-01-01' ELSE t END AS tombstoned_at FROM (SELECT chunk_uid, doc_id, max(tombstoned_at) AS t FROM chunks GROUP BY ALL) LEFT JOIN dead ON doc_id = base_id",
+    "ledger_tombstone", _cascaded,
+    f"""WITH {_DEAD}, {_PAPERS}, known AS (SELECT doc_id AS base_id FROM one WHERE doc_id IN (SELECT base_id FROM dead)),
+every AS (SELECT 'document' AS kind, doc_id AS id, doc_id, tombstoned_at AS t FROM one UNION ALL SELECT 'chunk', chunk_uid, doc_id, max(tombstoned_at) FROM chunks GROUP BY chunk_uid, doc_id)
+SELECT kind, id, doc_id, CASE WHEN base_id IS NOT NULL THEN TIMESTAMP '2030-01-01' ELSE t END AS tombstoned_at FROM every LEFT JOIN known ON doc_id = base_id""",
 )
+
+
+def _frozen(s, d):
+    """Texts of the chunks frozen as documents: what was ingested before 2025 is there already."""
+    texts = table(s, d, "chunks").where("text is not null").select(F.col("chunk_uid").alias("doc_id"), "text", "ingested_at")
+    new = texts.groupBy("doc_id").agg(F.max("text").alias("text")).select("doc_id", F.sha2("text", 256).alias("sha"), (normalized(F.col("text")) == F.col("text")).alias("normal"))
+    was = texts.where("ingested_at < '2025-01-01'").groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", F.sha2("text", 256).alias("sha"))
+    return tb.frozen(new, was)
+
+
 _add(
-    "canonical_freeze",
-    lambda s, d: tb.frozen(
-        table(s, d, "papers").groupBy("doc_id").agg(F.max("doc_text_sha256").alias("sha")).withColumn("normal", F.lit(True)),
-        table(s, d, "papers").where("char_len > 10000").groupBy("doc_id").agg(F.min("doc_text_sha256").alias("sha")),
-    ),
-    "WITH a AS (SELECT doc_id, max(doc_text_sha256) AS sha FROM papers GROUP BY doc_id), b AS (SELECT doc_id, min(doc_text_sha256) AS was FROM papers WHERE char_len > 10000 GROUP BY doc_id) SELECT doc_id, CASE WHEN was IS NULL THEN 'insert' WHEN was = sha THEN 'noop' ELSE 'conflict' END AS action FROM a LEFT JOIN b USING (doc_id)",
+    "canonical_freeze", _frozen,
+    f"""WITH a AS (SELECT chunk_uid AS doc_id, max(text) AS text FROM chunks WHERE text IS NOT NULL GROUP BY chunk_uid), b AS (SELECT chunk_uid AS doc_id, sha256(min(text)) AS was FROM chunks WHERE text IS NOT NULL AND ingested_at < '2025-01-01' GROUP BY chunk_uid)
+SELECT doc_id, CASE WHEN {_NORMAL} <> text THEN 'not_normalised' WHEN was IS NULL THEN 'insert' WHEN was = sha256(text) THEN 'noop' ELSE 'conflict' END AS action FROM a LEFT JOIN b USING (doc_id)""",
 )
 _add("corpus_snapshot", lambda s, d: tb.snapshot_id(table(s, d, "papers").select(F.col("doc_text_sha256").alias("content_hash"), "doc_id", F.col("latest_version").alias("version")).distinct()))
 _add("new_chunks", lambda s, d: tb.new_keys(table(s, d, "chunks").select("chunk_uid", "ingested_at").where("ingested_at >= '2025-01-01'"), table(s, d, "chunks").where("ingested_at < '2025-01-01'"), "chunk_uid").select("chunk_uid").distinct(), "SELECT DISTINCT chunk_uid FROM chunks WHERE ingested_at >= '2025-01-01' AND chunk_uid NOT IN (SELECT chunk_uid FROM chunks WHERE ingested_at < '2025-01-01')")
@@ -92,11 +156,20 @@ _add(
     "SELECT ingest_run_id AS run_id, CASE WHEN min(parser_id) IS NULL THEN 'insert' WHEN min(parser_id) = max(parser_id) THEN 'noop' ELSE 'conflict' END AS action FROM papers GROUP BY ingest_run_id",
 )
 
-def _status_counts(s, d):
-    return tb.zero_filled(table(s, d, "harvest_records"), "status", ("live", "deleted", "failed"))
+_add("manifest_status_counts", lambda s, d: tb.zero_filled(_manifest(s, d), "status", mf.STATES), f"WITH {_MANIFEST} SELECT v AS status, count(status) AS n FROM (VALUES {', '.join(f'({x!r})' for x in mf.STATES)}) t(v) LEFT JOIN manifest ON status = v GROUP BY v")
+
+
+def _ingested(s, d):
+    """The whole ingest over the papers as LaTeX trees, twice: the second run skips what the first has parsed."""
+    import uuid
+
+    root = f"{shared_folder(s)}/corpus-{uuid.uuid4().hex}"
+    files = _trees(s, d).select("doc_id", F.explode("files").alias("path", "content"))
+    both = [corpus.ingest(files, root).withColumn("run", F.lit(k)) for k in (1, 2)]
+    return both[0].unionByName(both[1]).select("run", "n_seen", "n_parsed", "n_failed", "n_skipped", "n_new_documents", "n_chunks", "n_new_chunks", "n_duplicates")
 
 
-_add("manifest_status_counts", _status_counts, "SELECT v AS status, count(status) AS n FROM (VALUES ('live'), ('deleted'), ('failed')) t(v) LEFT JOIN harvest_records ON status = v GROUP BY v")
+_add("ingest_pipeline", _ingested)
 _LIMITS = {"unexpanded_macro_rate": 0.1, "broken_math_span_rate": 0.05, "short_span_rate": 0.2}
 _add("constraint_violations", lambda s, d: tb.violations(table(s, d, "parse_quality").select("doc_id", *_LIMITS), "doc_id", _LIMITS), " UNION ALL ".join(f"SELECT doc_id, '{c}' AS name, {x}::DOUBLE AS most, {c} AS actual FROM parse_quality WHERE {c} > {x}" for c, x in _LIMITS.items()))
 
@@ -112,7 +185,7 @@ def _migrated(s, d):
     return out
 
 
-_add("ledger_migrate", _migrated, "SELECT * FROM (VALUES ('chunks', 8::BIGINT), ('documents', 10), ('errors', 4), ('ingest_runs', 7), ('run_metrics', 4), ('runs', 7), ('schema_version', 1)) t(name, n_columns)")
+_add("ledger_migrate", _migrated, "SELECT * FROM (VALUES ('chunks', 8::BIGINT), ('documents', 10), ('errors', 4), ('ingest_runs', 7), ('run_metrics', 4), ('runs', 12), ('schema_version', 1)) t(name, n_columns)")
 
 # Harvest
 _add("harvest_summary", lambda s, d: hv.summary(table(s, d, "harvest_records")), "SELECT harvest_id, count(*) AS n_records, count(*) FILTER (WHERE status = 'deleted') AS n_tombstones, count(DISTINCT base_id) AS n_papers FROM harvest_records GROUP BY harvest_id")

@@ -121,6 +121,10 @@ def test_qrels_append_and_diff(spark, tmp_path):
             qrels.append(spark, root, spark.createDataFrame(bad, schema))
     change = {(r.query_id, r.char_start): r.change for r in qrels.diff(qrels.load(spark, root, 1), qrels.load(spark, root, 2)).collect()}
     assert change == {("q1", 0): "regraded", ("q1", 60): "removed", ("q2", 1): "added"}
+    second = qrels.load_meta(spark, root, 2)
+    assert (second["judges"], second["n_queries"], second["n_judgements"], second["parent_version"]) == (["human", "x"], 2, 2, 1) and qrels.load_meta(spark, root, 1)["parent_version"] is None
+    with pytest.raises(FileNotFoundError):
+        qrels.load_meta(spark, root, 3)
 
 
 def test_statistics():
@@ -260,7 +264,7 @@ def test_swap_and_snapshot(spark, tmp_path):
     rows = spark.createDataFrame([("h1", "d1", 1), ("h2", "d2", None)], "content_hash string, doc_id string, version int")
     for df in (rows.limit(1), rows):
         tables.swap(df, path)
-    assert spark.read.parquet(path).count() == 2
+    assert tables.kept(spark, path).count() == 2
     same = tables.snapshot_id(rows.orderBy(F.desc("doc_id"))).first()
     assert same == tables.snapshot_id(rows.repartition(3)).first() and len(same.corpus_snapshot) == 16
     assert same != tables.snapshot_id(rows.withColumn("version", F.lit(2))).first()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark import plans
 from quillspark.functions import statistics as st
-from quillspark.operators import corpus, dedup, structure
+from quillspark.operators import corpus, dedup, structure, tables
 from quillspark.operators.latex import parse
 
 
@@ -78,10 +78,6 @@ def test_ingest_keeps_sections_and_their_coverage(spark, tmp_path):
     for k, x in trees.items():
         p = parse({"main.tex": x}, "main.tex")
         want[k] = round(min(1.0, sum(end - start for _, start, end in p.sections) / len(p.text)), 9)
-    rates = lambda: {r.doc_id: r.mean_section_label_coverage for r in spark.read.parquet(f"{root}/quality").collect()}
+    rates = lambda: {r.doc_id: r.mean_section_label_coverage for r in tables.kept(spark, f"{root}/quality").collect()}
     corpus.ingest(files, root)
     assert 0 < want["a"] < 1 and want["b"] == 0 and rates() == want
-    old = spark.createDataFrame(spark.read.parquet(f"{root}/canonical").drop("sections").collect(), "doc_id string, text string, title string, sha string, normal boolean")
-    old.write.mode("overwrite").parquet(f"{root}/canonical")
-    corpus.ingest(files, root)
-    assert rates() == want
