@@ -53,48 +53,59 @@ def _normal(x: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(x.cast("string"), r"(?U)\s+", " "), "^ | $", ""))
 
 
-def judged_claims(records: DataFrame, rounds: int = 6, prior: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def judged_claims(records: DataFrame, rounds: int = 20, prior: float = 0.5, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
     """(claims, sources). records: base, source, field, value (array of strings, null where not filled).
 
     claims: base, field, normal (normalised value), truth, votes. sources: source, sensitivity, specificity. A record
     of the group whose field is filled votes for its own values and against every other value claimed there; a
-    record without the field does not vote. Counts are smoothed by two imagined votes each, so no rate is 0 or 1.
+    record without the field does not vote. Counts are smoothed by two imagined votes each, so no rate is 0 or 1. Rounds
+    end when no rate moves by more than `tolerance`, at the latest after `rounds`.
+
+    That all sources of a field were silent on a value is one sum for the field, which each value corrects for those that said it.
+    So a round costs the votes cast, not values times sources, and of alike votes only one pattern.
     """
     voices = records.where(F.col("value").isNotNull()).groupBy("base", "field", "source").agg(F.count("*").alias("voices"))
     said = (
         records.select("base", "field", "source", F.explode(F.array_distinct(F.transform("value", _normal))).alias("normal"))
         .groupBy("base", "field", "normal", "source").agg(F.count("*").alias("yes"))
     )
-    claims = said.groupBy("base", "field", "normal").agg(F.sum("yes").alias("votes"))
-    votes = (
-        claims.select("base", "field", "normal").join(voices, ["base", "field"])
-        .join(said, ["base", "field", "normal", "source"], "left")
-        .select("base", "field", "normal", "source", F.coalesce("yes", F.lit(0)).alias("yes"), (F.col("voices") - F.coalesce("yes", F.lit(0))).alias("no"))
-    )
-    patterned = written(
-        votes.groupBy("base", "field", "normal").agg(F.array_sort(F.collect_list(F.struct("source", "yes", "no"))).alias("pattern"))
-        .withColumn("pattern_id", F.sha2(F.to_json("pattern"), 256)), "patterns"
-    )
-    patterns = written(
-        patterned.groupBy("pattern_id").agg(F.count("*").alias("weight"), F.first("pattern").alias("pattern"))
-        .select("pattern_id", "weight", F.explode("pattern").alias("v")).select("pattern_id", "weight", "v.*"), "votes"
-    )
-    sources = patterns.select("source").distinct().select("source", F.lit(0.8).alias("sensitivity"), F.lit(0.8).alias("specificity"))
+    listed = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
+    fields = voices.groupBy("base", "field").agg(listed("source", "voices").alias("heard")).withColumn("field_id", F.sha2(F.to_json("heard"), 256))
+    fields = written(fields, "fields")
+    claims = said.groupBy("base", "field", "normal").agg(F.sum("yes").alias("votes"), listed("source", "yes").alias("said"))
+    claims = claims.join(fields.select("base", "field", "field_id"), ["base", "field"]).withColumn("pattern_id", F.sha2(F.concat("field_id", F.to_json("said")), 256))
+    claims = written(claims, "claims")
+    heard = written(fields.groupBy("field_id").agg(F.first("heard").alias("heard")).select("field_id", F.explode("heard").alias("v")).select("field_id", "v.*"), "heard")
+    patterned = claims.groupBy("pattern_id", "field_id").agg(F.count("*").alias("weight"), F.first("said").alias("said"))
+    patterned = written(patterned, "patterns")
+    patterns, spoken = patterned.select("pattern_id", "field_id", "weight"), patterned.select("pattern_id", "weight", F.explode("said").alias("v")).select("pattern_id", "weight", "v.*")
+    sources = heard.select("source").distinct().select("source", F.lit(0.8).alias("sensitivity"), F.lit(0.8).alias("specificity"))
     logit = F.log(F.lit(prior / (1 - prior)))
+    against = F.log((1 - F.col("sensitivity")) / F.col("specificity"))
 
     def truths(by: DataFrame) -> DataFrame:
-        weighed = F.col("yes") * F.log(F.col("sensitivity") / (1 - F.col("specificity"))) + F.col("no") * F.log((1 - F.col("sensitivity")) / F.col("specificity"))
-        return patterns.join(by, "source").groupBy("pattern_id").agg((1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.sum(weighed) + logit))))).alias("truth"))
+        silent = heard.join(by, "source").groupBy("field_id").agg(F.sum(F.col("voices") * against).alias("silent"))
+        more = spoken.join(by, "source").groupBy("pattern_id").agg(F.sum(F.col("yes") * (F.log(F.col("sensitivity") / (1 - F.col("specificity"))) - against)).alias("more"))
+        odds = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("silent") + F.col("more") + logit))
+        return patterns.join(silent, "field_id").join(more, "pattern_id").select("pattern_id", "field_id", "weight", (1 / (1 + F.exp(-odds))).alias("truth"))
 
     for _ in range(rounds):
-        w, t = F.col("weight"), F.col("truth")
-        told = lambda x, y: (F.sum(w * x * F.col(y)) + 1.6) / (F.sum(w * x * (F.col("yes") + F.col("no"))) + 2)
-        sources = written(patterns.join(truths(sources), "pattern_id").groupBy("source").agg(told(t, "yes").alias("sensitivity"), told(1 - t, "no").alias("specificity")), "sources")
-    judged = patterned.join(truths(sources), "pattern_id").join(claims, ["base", "field", "normal"]).select("base", "field", "normal", "truth", "votes")
+        judged = written(truths(sources), "truths")
+        by_field = judged.groupBy("field_id").agg(F.sum(F.col("weight") * F.col("truth")).alias("true"), F.sum(F.col("weight") * (1 - F.col("truth"))).alias("false"))
+        chances = heard.join(by_field, "field_id").groupBy("source").agg(F.sum(F.col("voices") * F.col("true")).alias("true"), F.sum(F.col("voices") * F.col("false")).alias("false"))
+        taken = spoken.join(judged.select("pattern_id", "truth"), "pattern_id").groupBy("source").agg(F.sum(F.col("weight") * F.col("yes") * F.col("truth")).alias("right"), F.sum(F.col("weight") * F.col("yes") * (1 - F.col("truth"))).alias("wrong"))
+        rates = chances.join(taken, "source", "left").na.fill(0.0, ["right", "wrong"])
+        rates = rates.select("source", ((F.col("right") + 1.6) / (F.col("true") + 2)).alias("sensitivity"), ((F.col("false") - F.col("wrong") + 1.6) / (F.col("false") + 2)).alias("specificity"))
+        before, sources = sources, written(rates, "sources")
+        was = before.select("source", F.col("sensitivity").alias("a"), F.col("specificity").alias("b"))
+        moved = sources.join(was, "source").agg(F.max(F.greatest(F.abs(F.col("sensitivity") - F.col("a")), F.abs(F.col("specificity") - F.col("b"))))).first()[0]
+        if moved is None or moved <= tolerance:
+            break
+    judged = claims.join(truths(sources).select("pattern_id", "truth"), "pattern_id").select("base", "field", "normal", "truth", "votes")
     return judged, sources
 
 
-def survivors(df: DataFrame, how: SurvivorColumns = SurvivorColumns(), rounds: int = 6, truth: float = 0.5) -> DataFrame:
+def survivors(df: DataFrame, how: SurvivorColumns = SurvivorColumns(), rounds: int = 20, truth: float = 0.5) -> DataFrame:
     """One row for each paper id with two or more records.
 
     base_id; the surviving record's id (highest version, none lowest; then most fields filled; then latest fetched; then

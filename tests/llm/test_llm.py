@@ -1,4 +1,5 @@
 import collections
+import math
 import random
 from datetime import datetime
 
@@ -135,6 +136,40 @@ def test_quality_model_tells_good_sources_from_bad(spark):
     assert truth[True] > 0.85 and truth[False] < 0.25
 
 
+def test_quality_model_against_all_values_times_sources(spark):
+    rng = random.Random(8)
+    rows = []
+    for b in range(60):
+        for _ in range(rng.randrange(2, 9)):
+            source = rng.choice("uvwxy")
+            value = [f"t{b}" if rng.random() < {"u": 0.95, "v": 0.9, "w": 0.6, "x": 0.4, "y": 0.8}[source] else f"f{rng.randrange(3)}"]
+            rows.append((f"b{b}", source, rng.choice("fg"), value + ([f"m{rng.randrange(2)}"] if rng.random() < 0.3 else []) if rng.random() < 0.9 else None))
+    claims, sources = survivors.judged_claims(spark.createDataFrame(rows, "base string, source string, field string, value array<string>"), rounds=7, tolerance=0.0)
+    votes = collections.defaultdict(lambda: collections.defaultdict(lambda: [0, 0]))
+    groups = collections.defaultdict(list)
+    for base, source, field, value in rows:
+        if value is not None:
+            groups[base, field].append((source, set(value)))
+    for g, members in groups.items():
+        for v in set().union(*(x for _, x in members)):
+            for source, x in members:
+                votes[(*g, v)][source][0 if v in x else 1] += 1
+    rate = {s: [0.8, 0.8] for s in "uvwxy"}
+
+    def truths():
+        log = math.log
+        return {c: 1 / (1 + math.exp(-sum(y * log(rate[s][0] / (1 - rate[s][1])) + n * log((1 - rate[s][0]) / rate[s][1]) for s, (y, n) in by.items()))) for c, by in votes.items()}
+
+    for _ in range(7):
+        t = truths()
+        total = {s: [sum(t[c] * by[s][0] for c, by in votes.items() if s in by), sum(t[c] * sum(by[s]) for c, by in votes.items() if s in by), sum((1 - t[c]) * by[s][1] for c, by in votes.items() if s in by), sum((1 - t[c]) * sum(by[s]) for c, by in votes.items() if s in by)] for s in rate}
+        rate = {s: [(a + 1.6) / (b + 2), (c + 1.6) / (d + 2)] for s, (a, b, c, d) in total.items()}
+    got = {r.source: (r.sensitivity, r.specificity) for r in sources.collect()}
+    assert all(got[s] == pytest.approx(rate[s], abs=1e-9) for s in rate)
+    t = truths()
+    assert {(r.base, r.field, r.normal): r.truth for r in claims.collect()} == pytest.approx(t, abs=1e-9)
+
+
 # 4 splitting
 
 
