@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.storage import written
+from quillspark.storage import dropped, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 50) -> DataF
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = written(small.where("a <> b").distinct(), "edges")
+        before_edges, edges = edges, written(small.where("a <> b").distinct(), "edges")
+        dropped(before_edges)
         after = _state(edges)
         if after == before:
             break

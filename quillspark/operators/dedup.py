@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.ids import base_id_lenient, version
-from quillspark.storage import written
+from quillspark.storage import dropped, written
 
 
 def folded(text: Column) -> Column:
@@ -149,11 +149,12 @@ def direct_parents(alike: Alike, positions: DataFrame) -> DataFrame:
 
 def roots(parents: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(key, root): where a chain of parents ends, by doubling pointers; one pointer a key, so this is no component."""
-    now = written(parents.select("key", F.col("parent").alias("root")), "roots")
+    now = held = written(parents.select("key", F.col("parent").alias("root")), "roots")
     for _ in range(most_rounds):
         hop = now.select(F.col("key").alias("root"), F.col("root").alias("next"))
         joined = written(now.join(hop, "root", "left").select("key", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
-        now = joined.select("key", "root")
+        dropped(held)
+        now, held = joined.select("key", "root"), joined
         if joined.where("moved").isEmpty():
             return now
     raise ValueError("parents form a cycle")

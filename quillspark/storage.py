@@ -32,13 +32,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back with its own schema.
 
     Cuts the lineage without a local copy: every executor can read the table again after another is lost.
-    The table is removed when the process ends.
+    The table is removed when the process ends, or before by dropped.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes the table that written gave, as a round of an iteration does with that of the round before once it has its own."""
+    _remove(df.sparkSession, df._written_at)
 
 
 def spread(df: DataFrame) -> DataFrame:
