@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.ids import base_id, version
-from quillspark.storage import written
+from quillspark.storage import dropped, written
 
 #: Stand-ins for "no value", compared trimmed and in lower case.
 STAND_INS = ("", "-", "--", "n/a", "na", "none", "null", "nil", "nan", "unknown", "undefined", "tbd", "?", "??")
@@ -99,6 +99,9 @@ def judged_claims(records: DataFrame, rounds: int = 20, prior: float = 0.5, tole
         before, sources = sources, written(rates, "sources")
         was = before.select("source", F.col("sensitivity").alias("a"), F.col("specificity").alias("b"))
         moved = sources.join(was, "source").agg(F.max(F.greatest(F.abs(F.col("sensitivity") - F.col("a")), F.abs(F.col("specificity") - F.col("b"))))).first()[0]
+        dropped(judged)
+        if hasattr(before, "_written_at"):
+            dropped(before)
         if moved is None or moved <= tolerance:
             break
     judged = claims.join(truths(sources).select("pattern_id", "truth"), "pattern_id").select("base", "field", "normal", "truth", "votes")
@@ -124,6 +127,7 @@ def survivors(df: DataFrame, how: SurvivorColumns = SurvivorColumns(), rounds: i
     #: Order of preference as a struct whose maximum wins; nulls are smallest there.
     rank = F.struct("version", "n_filled", "fetched", (-F.col("rec")).alias("low"))
     rows = rows.groupBy("base", "rec").agg(F.max_by(F.struct("version", "source", "fetched", "n_filled", *[f"f_{c}" for c in fields]), rank).alias("r")).select("base", "rec", "r.*")
+    rows = written(rows, "records")
     groups = rows.groupBy("base").agg(F.count("*").alias("n_records"), F.sort_array(F.collect_set("version")).alias("versions_seen"), F.max_by(F.struct("rec", "version", *[f"f_{c}" for c in fields]), rank).alias("best")).where("n_records > 1")
     groups = written(groups, "survivors")
     several = rows.join(groups.select("base"), "base", "left_semi")
