@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark import plans
 from quillspark.functions import text as tx
 from quillspark.operators import latex, structure
 from quillspark.sources import archives
@@ -124,6 +125,18 @@ def test_columns_give_what_the_parser_gives(spark):
     assert got[0][0] == "a \n\nFigure: One {x}\n\n b  c" and got[1][0] == texts[1] and got[2][0] == "" and got[3][0] is None and got[4][1] == ["a", "b"] and got[5][0] == ""
 
 
+def test_floats_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    spaces = "\x0b\x0c\r\x1c\x85\xa0\u2003\u2028\u3000"
+    texts = [None, "", *(rf"\begin{{figure}}\caption{c}{{{c}a{c} b {c}}}\end{{figure}}" for c in spaces), *(rf"x\begin{{table}}\caption[s]{{{w * 20000}}}\end{{table}}" for w in ("w ", "{w}"))]
+    spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "chunk_uid string, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW chunks AS SELECT * FROM read_parquet('{tmp_path}/chunks.parquet/*.parquet')")
+    got = {r.chunk_uid: r.sha for r in plans.queries()["latex_floats"](spark, str(tmp_path)).collect()}
+    assert got == dict(duck.execute(plans.sql()["latex_floats"]).fetchall()) and len(got) == len(texts)
+
+
 def test_main_files(spark):
     cls = "\\documentclass{a}"
     trees = {
