@@ -40,7 +40,8 @@ class Bundle:
 
 
 def min_cost_flow(nodes: int, arcs: list[tuple[int, int, int, int]], start: int, end: int) -> list[int]:
-    """Flow on each arc (from, to, capacity, cost) of a largest flow of least cost, by successive shortest paths."""
+    """Flow on each arc (from, to, capacity, cost) of a largest flow of least cost. Each round takes the least cost that a path
+    still has and sends all that goes at that cost, by levels, so that rounds are as many as costs and not as paths."""
     graph: list[list[int]] = [[] for _ in range(nodes)]
     to, left, price = [], [], []
     for a, b, capacity, cost in arcs:
@@ -50,7 +51,6 @@ def min_cost_flow(nodes: int, arcs: list[tuple[int, int, int, int]], start: int,
     potential = [0] * nodes
     while True:
         far = [float("inf")] * nodes
-        came = [-1] * nodes
         far[start], heap = 0, [(0, start)]
         while heap:
             d, x = heapq.heappop(heap)
@@ -58,31 +58,38 @@ def min_cost_flow(nodes: int, arcs: list[tuple[int, int, int, int]], start: int,
                 continue
             for e in graph[x]:
                 if left[e] and (n := d + price[e] + potential[x] - potential[to[e]]) < far[to[e]]:
-                    far[to[e]], came[to[e]] = n, e
+                    far[to[e]] = n
                     heapq.heappush(heap, (n, to[e]))
         if far[end] == float("inf"):
             return [arcs[k][2] - left[2 * k] for k in range(len(arcs))]
-        for x in range(nodes):
-            if far[x] < float("inf"):
-                potential[x] += far[x]
-        x, most = end, None
-        while x != start:
-            most = left[came[x]] if most is None else min(most, left[came[x]])
-            x = to[came[x] ^ 1]
-        x = end
-        while x != start:
-            left[came[x]] -= most
-            left[came[x] ^ 1] += most
-            x = to[came[x] ^ 1]
-
-
-def quota_classes(bundles: list[Bundle], most: int) -> list[int]:
-    """The class of each bundle: itself, or where there are more than `most`, its size by doublings and its share of labelled
-    rows by quarters. Only the quotas of the flow are set by class; members and labels are rounded bundle by bundle."""
-    if len(bundles) <= most:
-        return list(range(len(bundles)))
-    keys: dict[tuple[int, int], int] = {}
-    return [keys.setdefault((b.size.bit_length(), 4 * b.label // max(1, b.size)), len(keys)) for b in bundles]
+        potential = [p + min(d, far[end]) for p, d in zip(potential, far)]
+        while True:
+            level = [-1] * nodes
+            level[start], queue = 0, [start]
+            for x in queue:
+                for e in graph[x]:
+                    if left[e] and level[to[e]] < 0 and price[e] + potential[x] == potential[to[e]]:
+                        level[to[e]] = level[x] + 1
+                        queue.append(to[e])
+            if level[end] < 0:
+                break
+            open_arcs, path, x = [iter(g) for g in graph], [], start
+            tried = [next(i, None) for i in open_arcs]
+            while x != start or tried[start] is not None:
+                if x == end:
+                    most = min(left[e] for e in path)
+                    for e in path:
+                        left[e] -= most
+                        left[e ^ 1] += most
+                    path, x = [], start
+                elif (e := tried[x]) is None:
+                    x = to[path.pop() ^ 1]
+                    tried[x] = next(open_arcs[x], None)
+                elif left[e] and level[to[e]] == level[x] + 1 and price[e] + potential[x] == potential[to[e]]:
+                    path.append(e)
+                    x = to[e]
+                else:
+                    tried[x] = next(open_arcs[x], None)
 
 
 def _best_swap(bundles: list[Bundle], taken: list[list[int]], over: list[float], sizes: dict[int, list[int]]) -> tuple | None:
@@ -114,43 +121,37 @@ def _best_swap(bundles: list[Bundle], taken: list[list[int]], over: list[float],
     return best
 
 
-def allocate(bundles: list[Bundle], shares: tuple[float, ...], most: int = 300) -> list[list[int]]:
+def allocate(bundles: list[Bundle], shares: tuple[float, ...], most: int | None = None) -> list[list[int]]:
     """How many components of each bundle each split gets.
 
-    A flow of rows goes from bundles (more than `most`: from classes of them) to splits: up to its own share, a split's quota
-    of labelled (or other) rows and its quota of rows at no cost, beyond each at a cost for every row that deviates. It is
-    rounded to whole components bundle by bundle from the largest on, what a split got too much or too little being carried
+    A flow of rows goes from bundles, every one by itself however many there are, to splits: up to its own share, a split's
+    quota of labelled (or other) rows and its quota of rows at no cost, beyond each at a cost for every row that deviates. It
+    is rounded to whole components bundle by bundle from the largest on, what a split got too much or too little being carried
     to the next, so that small components even it out. Swaps of components of one size then bring the labelled rows nearer
-    to their quotas.
+    to their quotas. `most` has no effect; it is there for callers that still give it.
     """
     k = len(shares)
     total, labelled = sum(b.size * b.count for b in bundles), sum(b.label * b.count for b in bundles)
-    classes = quota_classes(bundles, most)
-    n = max(classes, default=-1) + 1
+    n = len(bundles)
     node = lambda j: 2 + j
     side = lambda j, lab: 2 + k + 2 * j + lab
-    rows_of, labels_of = [0] * n, [0] * n
-    for b, c in zip(bundles, classes):
-        rows_of[c] += b.size * b.count
-        labels_of[c] += b.label * b.count
-    mostly = [int(2 * x >= max(1, r)) for r, x in zip(rows_of, labels_of)]
+    rows_of = [b.size * b.count for b in bundles]
+    mostly = [int(2 * b.label >= max(1, b.size)) for b in bundles]
     sides = [sum(r for r, m in zip(rows_of, mostly) if m == lab) for lab in (0, 1)]
-    arcs, spread = [], {}
-    for c, rows in enumerate(rows_of):
-        arcs.append((0, 2 + 3 * k + c, rows, 0))
+    arcs = []
+    for i, rows in enumerate(rows_of):  # 1 + 2 k arcs each
+        arcs.append((0, 2 + 3 * k + i, rows, 0))
         for j in range(k):
-            spread[c, j] = (len(arcs), len(arcs) + 1)
-            arcs += [(2 + 3 * k + c, side(j, mostly[c]), round(rows * shares[j]), 0), (2 + 3 * k + c, side(j, mostly[c]), rows, 1)]
+            arcs += [(2 + 3 * k + i, side(j, mostly[i]), round(rows * shares[j]), 0), (2 + 3 * k + i, side(j, mostly[i]), rows, 1)]
     for j in range(k):
         for lab in (0, 1):
             arcs += [(side(j, lab), node(j), round(sides[lab] * shares[j]), 0), (side(j, lab), node(j), total, 1)]
         arcs += [(node(j), 1, round(total * shares[j]), 0), (node(j), 1, total, 10)]
     flow = min_cost_flow(2 + 3 * k + n, arcs, 0, 1)
-    quota = [[sum(flow[e] for e in spread[c, j]) / max(1, rows_of[c]) for j in range(k)] for c in range(n)]
+    quota = [[flow[e] + flow[e + 1] for e in range(i * (1 + 2 * k) + 1, (i + 1) * (1 + 2 * k), 2)] for i in range(n)]
     taken, carry = [[0] * k for _ in bundles], [0.0] * k
     for i in sorted(range(len(bundles)), key=lambda i: (-bundles[i].size, -bundles[i].label)):
-        b = bundles[i]
-        rows = [quota[classes[i]][j] * b.size * b.count for j in range(k)]
+        b, rows = bundles[i], quota[i]
         wanted = [max(0.0, (rows[j] + carry[j]) / b.size) for j in range(k)]
         scale = b.count / (sum(wanted) or 1.0)
         wanted = [w * scale for w in wanted]

@@ -260,6 +260,33 @@ def test_very_many_profiles_end_soon():
     assert time.time() - began < 30 and abs(sum(b.label * t[1] for b, t in zip(bundles, taken)) - 0.1 * labels) < 0.002 * labels
 
 
+@pytest.mark.parametrize("n", [299, 300, 301, 900])
+def test_every_profile_is_in_the_flow(monkeypatch, n):
+    bundles = [group_splits.Bundle(s, x, 1 + (s * x) % 3) for s in range(1, 60) for x in range(s + 1)][:n]
+    seen, flow = [], group_splits.min_cost_flow
+    monkeypatch.setattr(group_splits, "min_cost_flow", lambda nodes, *a: seen.append(nodes) or flow(nodes, *a))
+    taken = group_splits.allocate(bundles, (0.8, 0.1, 0.1))
+    assert seen == [2 + 3 * 3 + n] and taken == group_splits.allocate(bundles, (0.8, 0.1, 0.1), 10) == group_splits.allocate(bundles, (0.8, 0.1, 0.1), 400)
+
+
+def test_flow_leaves_no_path_and_no_gain():
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.randrange(3, 10)
+        arcs = [(*rng.sample(range(n), 2), rng.randrange(7), rng.randrange(5)) for _ in range(rng.randrange(2, 40))]
+        flow = group_splits.min_cost_flow(n, arcs, 0, n - 1)
+        net = [sum(f * ((a[1] == x) - (a[0] == x)) for f, a in zip(flow, arcs)) for x in range(n)]
+        assert all(0 <= f <= a[2] for f, a in zip(flow, arcs)) and not any(net[1:-1])
+        rest = [(a, b, p) for f, (a, b, c, p) in zip(flow, arcs) if f < c] + [(b, a, -p) for f, (a, b, c, p) in zip(flow, arcs) if f]
+        reached, cost = {0}, [0] * n
+        for _ in range(n):
+            before = list(cost)
+            for a, b, p in rest:
+                cost[b] = min(cost[b], cost[a] + p)
+                reached |= {b} if a in reached else set()
+        assert n - 1 not in reached and cost == before
+
+
 def test_min_cost_flow_against_enumeration():
     arcs = [(0, 1, 4, 0), (0, 2, 3, 0), (1, 3, 3, 1), (1, 4, 3, 2), (2, 3, 2, 3), (2, 4, 3, 1), (3, 5, 3, 0), (4, 5, 5, 0)]
     flow = group_splits.min_cost_flow(6, arcs, 0, 5)
