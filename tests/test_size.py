@@ -20,3 +20,7 @@ def test_minima_are_those_of_every_shingle(spark):
     got = dedup.minhash(sets, 9)
     assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.count() == 3
     assert "Generate" not in plan(QUERIES["minhash_signature"](spark, DATA))
+
+
+def test_signatures_have_all_128_minima(spark):
+    assert QUERIES["minhash_signature"](spark, DATA).columns == ["key", "n", *[f"m{k}" for k in range(128)]]
