@@ -1,9 +1,13 @@
 """Work that grows with the tables is done in full and without a row for each step of it."""
 
+import hashlib
+import random
+
 from pyspark.sql import functions as F
 
 from quillspark import plans
-from quillspark.operators import dedup
+from quillspark.functions import digests
+from quillspark.operators import dedup, evaluation
 
 DATA = "/root/testdata/sf0.001"
 QUERIES = plans.queries()
@@ -24,3 +28,37 @@ def test_minima_are_those_of_every_shingle(spark):
 
 def test_signatures_have_all_128_minima(spark):
     assert QUERIES["minhash_signature"](spark, DATA).columns == ["key", "n", *[f"m{k}" for k in range(128)]]
+
+
+def test_lowest_digests_of_texts_of_any_length():
+    r = random.Random(3)
+    heads = [b"", b"a:", *[b"a:q%d:" % r.randrange(10**k) for k in (1, 3, 7, 7, 7, 8, 40)], b"x" * 70]
+    texts = [b"", *[bytes(r.choices(range(256), k=n)) for n in (4, 5, 46, 47, 54, 55, 56, 57, 64, 64, 100, 119, 120, 200) for _ in range(9)]]
+    for most in (7, len(texts), 500):
+        found = {(h, t) for some in digests.lowest(heads, texts, most) for h, t in zip(*(x.tolist() for x in some), strict=True)}
+        assert found == {(h, t) for h in range(len(heads)) for t in sorted(range(len(texts)), key=lambda t: hashlib.md5(heads[h] + texts[t]).digest())[:most]}
+
+
+def test_a_run_hashes_every_chunk_of_a_long_document(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "_HEADS", 2)
+    monkeypatch.setattr(evaluation, "_TEXTS", 700)
+    chunks = [(f"{'é' * (k % 3)}c{k}", "long" if k < 2500 else f"d{k % 40}", k, k + 5) for k in range(3000)]
+    asked = [*[(f"q{k}", "long") for k in range(7)], *[(f"q{k}", f"d{k}") for k in range(5, 20)], ("q0", "none"), (None, "long"), ("q0", None)]
+    pairs = spark.createDataFrame(asked, "query_id string, doc_id string")
+    got = {}
+    for x in evaluation.hashed_run(pairs, spark.createDataFrame(chunks, "chunk_uid string, doc_id string, char_start long, char_end long"), "s", 20).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.chunk_uid, x.doc_id, x.char_start, x.char_end))
+    want = {}
+    for q in {q for q, _ in asked}:
+        own = [c for c in chunks if (q, c[1]) in asked]
+        first = sorted(own, key=lambda c: (hashlib.md5(f"s:{q}:{c[0]}".encode()).hexdigest() if q is not None else "", c[0]))[:20]
+        want[q] = [(k, *c) for k, c in enumerate(first, 1)]
+    assert {q: sorted(x) for q, x in got.items()} == want
+
+
+def test_pairs_of_a_long_document_become_no_rows(spark):
+    """paired_align and all that reads a run: of a document's pairs only those of lowest digests leave the Python workers."""
+    chunks = spark.range(3000).select(F.concat(F.lit("c"), "id").alias("chunk_uid"), F.lit("long").alias("doc_id"), F.col("id").alias("char_start"), (F.col("id") + 5).alias("char_end"))
+    pairs = spark.range(30).select(F.concat(F.lit("q"), "id").alias("query_id"), F.lit("long").alias("doc_id"))
+    df = evaluation.hashed_run(pairs, chunks, "s", 20)
+    assert df.count() == 600 and "MapInArrow" in plan(df)
