@@ -3,10 +3,13 @@
 import hashlib
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark import plans
 from quillspark.functions import digests
+from quillspark.functions import statistics as st
 from quillspark.operators import dedup, evaluation
 
 DATA = "/root/testdata/sf0.001"
@@ -62,3 +65,19 @@ def test_pairs_of_a_long_document_become_no_rows(spark):
     pairs = spark.range(30).select(F.concat(F.lit("q"), "id").alias("query_id"), F.lit("long").alias("doc_id"))
     df = evaluation.hashed_run(pairs, chunks, "s", 20)
     assert df.count() == 600 and "MapInArrow" in plan(df)
+
+
+def test_draws_by_arrays_are_those_of_the_expression(spark):
+    t, i = [0, 1, 77, 9_999], [0, 1, 5_000, 999_999, 2_147_483_646, 2_147_483_647]
+    grid = spark.createDataFrame([(x, y) for x in t for y in i], "t long, i long").select(st.draw(F.col("t"), F.col("i")).alias("x"))
+    assert st.draws(np.array(t), np.array(i)).ravel().tolist() == [r.x for r in grid.collect()]
+
+
+@pytest.mark.parametrize("n", [1, 300, 40_000])
+def test_resamples_take_no_row_a_draw(spark, monkeypatch, n):
+    """paired_bootstrap: arrays of draws give what rows of draws give."""
+    pairs = spark.range(n).select(F.format_string("q%07d", "id").alias("query_id"), F.lit(0.5).alias("a"), (F.xxhash64("id") / 2.0**63).alias("b"))
+    own = {r.t: r.mean for r in st.resampled_means(pairs, 30).collect()}
+    assert "Generate" not in plan(st.resampled_means(pairs, 30))
+    monkeypatch.setattr(st, "_NEAR", 0)
+    assert own == pytest.approx({r.t: r.mean for r in st.resampled_means(pairs, 30).collect()}, abs=1e-12)
