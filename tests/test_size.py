@@ -81,3 +81,8 @@ def test_resamples_take_no_row_a_draw(spark, monkeypatch, n):
     assert "Generate" not in plan(st.resampled_means(pairs, 30))
     monkeypatch.setattr(st, "_NEAR", 0)
     assert own == pytest.approx({r.t: r.mean for r in st.resampled_means(pairs, 30).collect()}, abs=1e-12)
+
+
+def test_a_run_file_is_scanned_whole(spark):
+    write, scan = (QUERIES[f"run_file_{x}"](spark, DATA) for x in ("write", "scan"))
+    assert scan.columns == write.columns and sorted(scan.collect()) == sorted(write.collect()) and scan.where("rank > 3").count() > 0
