@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from quillspark import plans
 from quillspark.functions import digests
 from quillspark.functions import statistics as st
 from quillspark.operators import dedup, evaluation
+from quillspark.plans import inputs
 
 DATA = "/root/testdata/sf0.001"
 QUERIES = plans.queries()
@@ -86,3 +88,35 @@ def test_resamples_take_no_row_a_draw(spark, monkeypatch, n):
 def test_a_run_file_is_scanned_whole(spark):
     write, scan = (QUERIES[f"run_file_{x}"](spark, DATA) for x in ("write", "scan"))
     assert scan.columns == write.columns and sorted(scan.collect()) == sorted(write.collect()) and scan.where("rank > 3").count() > 0
+
+
+@pytest.fixture(scope="module")
+def long_document(tmp_path_factory):
+    """Tables with a document of 2,500 chunks that 12 queries judge, one of them without an id, beside short ones."""
+    folder = tmp_path_factory.mktemp("long")
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE chunks AS SELECT 'c' || md5(k::VARCHAR) AS chunk_uid, CASE WHEN k < 2500 THEN 'long' ELSE 'd' || k % 40 END AS doc_id, (k % 50 * 10)::INT AS char_start, (k % 50 * 10 + 25)::INT AS char_end FROM range(2900) t(k)")
+    duck.execute("CREATE TABLE qrels AS SELECT 1 + k % 2 AS qrels_version, CASE WHEN k % 13 < 12 THEN 'q' || k % 13 END AS query_id, CASE WHEN k < 26 THEN 'long' ELSE 'd' || k % 40 END AS doc_id, k * 7 % 400 AS char_start, k * 7 % 400 + 30 AS char_end, k % 4 AS grade FROM range(200) t(k)")
+    for t in ("chunks", "qrels"):
+        duck.execute(f"COPY {t} TO '{folder}/{t}.parquet' (FORMAT parquet)")
+    return str(folder), duck
+
+
+#: Queries that read a run, with the runs that each reads.
+_READ_RUNS = {
+    "paired_verdict": 2,
+}
+
+
+@pytest.mark.parametrize("name", _READ_RUNS)
+def test_over_a_long_document(spark, monkeypatch, long_document, name):
+    """A query takes its runs from hashed_run, which makes no row of a long document's pairs, and gives what its SQL gives."""
+    folder, duck = long_document
+    made = []
+    monkeypatch.setattr(inputs, "hashed_run", lambda *a: made.append(a) or evaluation.hashed_run(*a))
+    df = QUERIES[name](spark, folder)
+    columns, cursor = sorted(df.columns), duck.execute(plans.sql()[name])
+    names = [x[0] for x in cursor.description]
+    plain = lambda v: round(v, 8) if isinstance(v, float) else v
+    want = sorted(str([plain(r[names.index(c)]) for c in columns]) for r in cursor.fetchall())
+    assert sorted(str([plain(v) for v in r]) for r in df.select(*columns).collect()) == want and len(made) == _READ_RUNS[name]
