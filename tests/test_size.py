@@ -105,6 +105,7 @@ def long_document(tmp_path_factory):
 #: Queries that read a run, with the runs that each reads.
 _READ_RUNS = {
     "paired_verdict": 2,
+    "randomization_test": 2,
 }
 
 
