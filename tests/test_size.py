@@ -106,6 +106,7 @@ def long_document(tmp_path_factory):
 _READ_RUNS = {
     "paired_verdict": 2,
     "randomization_test": 2,
+    "rescore_midpoint": 1,
 }
 
 
