@@ -107,6 +107,7 @@ _READ_RUNS = {
     "paired_verdict": 2,
     "randomization_test": 2,
     "rescore_midpoint": 1,
+    "run_file_scan": 1,
 }
 
 
