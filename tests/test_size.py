@@ -108,6 +108,7 @@ _READ_RUNS = {
     "randomization_test": 2,
     "rescore_midpoint": 1,
     "run_file_scan": 1,
+    "metric_ndcg_at_k": 1,
 }
 
 
