@@ -109,6 +109,7 @@ _READ_RUNS = {
     "rescore_midpoint": 1,
     "run_file_scan": 1,
     "metric_ndcg_at_k": 1,
+    "metric_success_at_k": 1,
 }
 
 
