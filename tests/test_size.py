@@ -110,6 +110,7 @@ _READ_RUNS = {
     "run_file_scan": 1,
     "metric_ndcg_at_k": 1,
     "metric_success_at_k": 1,
+    "rank_assign": 1,
 }
 
 
