@@ -111,6 +111,7 @@ _READ_RUNS = {
     "metric_ndcg_at_k": 1,
     "metric_success_at_k": 1,
     "rank_assign": 1,
+    "rescore_wide": 1,
 }
 
 
