@@ -112,6 +112,7 @@ _READ_RUNS = {
     "metric_success_at_k": 1,
     "rank_assign": 1,
     "rescore_wide": 1,
+    "run_file_write": 1,
 }
 
 
