@@ -113,6 +113,7 @@ _READ_RUNS = {
     "rank_assign": 1,
     "rescore_wide": 1,
     "run_file_write": 1,
+    "span_relevance": 1,
 }
 
 
