@@ -114,6 +114,7 @@ _READ_RUNS = {
     "rescore_wide": 1,
     "run_file_write": 1,
     "span_relevance": 1,
+    "min_detectable_effect": 2,
 }
 
 
