@@ -115,6 +115,7 @@ _READ_RUNS = {
     "run_file_write": 1,
     "span_relevance": 1,
     "min_detectable_effect": 2,
+    "paired_checks": 2,
 }
 
 
