@@ -116,6 +116,7 @@ _READ_RUNS = {
     "span_relevance": 1,
     "min_detectable_effect": 2,
     "paired_checks": 2,
+    "required_n": 2,
 }
 
 
