@@ -117,6 +117,8 @@ _READ_RUNS = {
     "min_detectable_effect": 2,
     "paired_checks": 2,
     "required_n": 2,
+    "paired_align": 2,
+    "paired_bootstrap": 2,
 }
 
 
